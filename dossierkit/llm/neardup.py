@@ -49,10 +49,12 @@ class LikenessRule:
     threshold: float
     sampled: int  # k-mers of a sketch
     sketches: int
+    agree: int  # sketches in which a candidate pair agrees, at least
 
 
-TEXT = LikenessRule("word", 3, 0.6, 3, 40)
-TITLE = LikenessRule("char", 3, 0.7, 5, 40)
+#: At the threshold itself a pair is a candidate with a probability of 0.9996 and 0.9977, above it more.
+TEXT = LikenessRule("word", 3, 0.6, 3, 32, 1)
+TITLE = LikenessRule("char", 3, 0.7, 5, 44, 2)
 
 
 def tokens(text: str, rule: LikenessRule, known: dict[str, int]) -> np.ndarray:
@@ -147,21 +149,26 @@ def _sketch_rows(rules: dict[str, LikenessRule]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        seen: set[bytes] = set()  # classes this task has sketched: copies need no second sketch
         for batch in batches:
             field, key, hi, lo, size, sketches = [], [], [], [], [], []
+            if len(seen) > 1_000_000:
+                seen.clear()
             for f, k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rule = rules[f]
                 toks = tokens(t, rule, known)
                 h = kmers(toks, rule.k)
                 if not len(h):
                     continue
-                digest = np.frombuffer(xxhash.xxh3_128_digest(toks.tobytes()), np.int64)
+                raw = xxhash.xxh3_128_digest(toks.tobytes())
+                digest = np.frombuffer(raw, np.int64)
                 field.append(f)
                 key.append(k)
                 hi.append(int(digest[0]))
                 lo.append(int(digest[1]))
                 size.append(len(np.unique(h)))
-                sketches.append(sketch(labelled(h), rule, xxhash.xxh32_intdigest(f)).view(np.int64))
+                sketches.append(np.empty(0, np.int64) if raw in seen else sketch(labelled(h), rule, xxhash.xxh32_intdigest(f)).view(np.int64))
+                seen.add(raw)
             ends = np.cumsum([0, *map(len, sketches)])
             values = np.concatenate(sketches) if sketches else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
@@ -205,36 +212,44 @@ def near_duplicates(items: DataFrame, rules: dict[str, LikenessRule]) -> NearDup
     kind = "field string, key string, class_hi long, class_lo long, size int, sketches array<long>"
     sketched = materialise(items.mapInArrow(_sketch_rows(rules), kind), "neardup-sketches")
     of_class = ["field", "class_hi", "class_lo"]
-    reps = sketched.groupBy(*of_class).agg(F.min("key").alias("rep"), F.any_value("size").alias("size"), F.any_value("sketches").alias("sketches"))
-
-    thresholds = F.create_map(*[x for f, r in rules.items() for x in (F.lit(f), F.lit(r.threshold))])
-    buckets = reps.select(
-        _record(F.col("field"), F.col("rep")).alias("rec"), "size", thresholds[F.col("field")].alias("least"), F.explode("sketches").alias("bucket")
-    )
-    a, b = buckets.alias("a"), buckets.select("rec", "size", "bucket").alias("b")
-    # sets of which one is smaller than the threshold times the other can't be alike
-    near_size = (F.col("a.size") >= F.col("a.least") * F.col("b.size")) & (F.col("b.size") >= F.col("a.least") * F.col("a.size"))
-    candidates = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rec") < F.col("b.rec")) & near_size).select(
-        F.col("a.rec").alias("rec_a"), F.col("b.rec").alias("rec_b")
-    )
-    candidates = materialise(candidates.distinct(), "neardup-candidates")
-
-    # Only the texts of candidates move: a Bloom filter of bounded size holds their records back at the scan.
+    slim = sketched.select("key", *of_class).distinct()
+    classes = slim.groupBy(*of_class).agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
+
+    # One exchange by bucket serves both sides of the self-join; a class that several tasks
+    # sketched leaves one row in a bucket. Buckets name a class by half of its hash: should two
+    # classes meet in it, both are compared, so nothing is lost.
+    fields = sorted(rules)
+    number = F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.lit(i))])
+    buckets = sketched.select(F.explode("sketches").alias("bucket"), F.col("class_lo").alias("rec"), (F.col("size") * 16 + number[F.col("field")]).alias("size"))
+    buckets = buckets.repartition("bucket").dropDuplicates(["bucket", "rec"])
+    least, agree = (F.array(*[F.lit(getattr(rules[f], x)) for f in fields]) for x in ("threshold", "agree"))
+    a, b = buckets.alias("a"), buckets.alias("b")
+    n_a, n_b = F.shiftright("a.size", 4), F.shiftright("b.size", 4)
+    kind = F.col("a.size").bitwiseAND(15)
+    near_size = (n_a >= F.get(least, kind) * n_b) & (n_b >= F.get(least, kind) * n_a)  # else they can't be alike
+    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rec") < F.col("b.rec")) & near_size)
+    met = met.groupBy(F.col("a.rec").alias("lo_a"), F.col("b.rec").alias("lo_b")).agg(F.count("*").alias("n"), F.first(kind).alias("kind"))
+    met = met.where(F.col("n") >= F.get(agree, F.col("kind"))).select("lo_a", "lo_b")
+    named = classes.select("field", "class_lo", "rep")
+    ends = [named.select(F.col("field").alias(f"f_{x}"), F.col("class_lo").alias(f"lo_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
+    candidates = met.join(ends[0], "lo_a").join(ends[1], "lo_b").where("f_a = f_b")
+    candidates = candidates.select(F.col("f_a").alias("field"), *[_record(F.col("f_a"), F.col(f"rep_{x}")).alias(f"rec_{x}") for x in "ab"]).where("rec_a <> rec_b")
+    candidates = materialise(candidates, "neardup-candidates")
+
+    # Only the texts of candidates move: a Bloom filter of bounded size holds the others back at the scan.
     wanted = candidates.select(F.explode(F.array("rec_a", "rec_b")).alias("rec"))
     n_blocks = bloom.blocks_for(2 * candidates.count())
     texts = items.withColumn("rec", _record(F.col("field"), F.col("key")))
-    texts = bloom.probe(texts, "rec", bloom.build(wanted, "rec", n_blocks), n_blocks, "maybe").where("maybe").select("rec", "field", "key", "text")
+    texts = bloom.probe(texts, "rec", bloom.build(wanted, "rec", n_blocks), n_blocks, "maybe").where("maybe").select("rec", "key", "text")
     left, right = texts.alias("l"), texts.alias("r")
     together = (
         candidates.join(left, F.col("rec_a") == F.col("l.rec"))
-        .join(right, (F.col("rec_b") == F.col("r.rec")) & (F.col("l.field") == F.col("r.field")))
-        .select("l.field", F.least("l.key", "r.key").alias("ka"), F.greatest("l.key", "r.key").alias("kb"), F.when(F.col("l.key") < F.col("r.key"), F.col("l.text")).otherwise(F.col("r.text")).alias("ta"), F.when(F.col("l.key") < F.col("r.key"), F.col("r.text")).otherwise(F.col("l.text")).alias("tb"))
+        .join(right, F.col("rec_b") == F.col("r.rec"))
+        .select("field", F.least("l.key", "r.key").alias("ka"), F.greatest("l.key", "r.key").alias("kb"), F.when(F.col("l.key") < F.col("r.key"), F.col("l.text")).otherwise(F.col("r.text")).alias("ta"), F.when(F.col("l.key") < F.col("r.key"), F.col("r.text")).otherwise(F.col("l.text")).alias("tb"))
     )
     pairs = together.mapInArrow(_verify_rows(rules), "field string, rep_a string, rep_b string, likeness double, aligned double").distinct()
 
-    slim = sketched.select("key", *of_class)
-    sizes = slim.distinct().groupBy(*of_class).agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
-    members = slim.distinct().join(sizes, of_class).select("field", "key", "rep", "copies")
+    members = slim.join(classes, of_class).select("field", "key", "rep", "copies")
     return NearDuplicates(members, pairs)
 
 
