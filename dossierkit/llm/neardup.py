@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,15 +99,22 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return h ^ (rank * _M2)
 
 
+@lru_cache(maxsize=16)
+def _factors(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 62, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def sketch(h: np.ndarray, rule: LikenessRule, seed: int) -> np.ndarray:
     """One hash for each sketch of the labelled k-mers ``h``, which stand in text order."""
-    rng = np.random.default_rng(seed)
-    factors = rng.integers(1, 1 << 62, rule.sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = _factors(rule.sketches, seed)
     k = min(rule.sampled, len(h))
     m = h[None, :] * factors[:, None]
     m ^= m >> np.uint64(32)
     m *= _M3
-    least = np.argpartition(m, k - 1, axis=1)[:, :k] if k < len(h) else np.tile(np.arange(k), (rule.sketches, 1))
+    rows, least = np.arange(rule.sketches), np.empty((rule.sketches, k), np.int64)
+    for i in range(k):
+        least[:, i] = at = m.argmin(axis=1)
+        m[rows, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
     least.sort(axis=1)  # text order
     out = factors.copy()
     for i in range(k):
@@ -115,33 +123,38 @@ def sketch(h: np.ndarray, rule: LikenessRule, seed: int) -> np.ndarray:
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard likeness of two k-mer sequences taken as sets."""
-    a, b = np.unique(a), np.unique(b)
-    if not len(a) or not len(b):
-        return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def compare(a: np.ndarray, b: np.ndarray, band: int = 64) -> tuple[float, float]:
+    """(likeness, aligned share) of two k-mer sequences.
 
-
-def aligned_share(a: np.ndarray, b: np.ndarray, band: int = 64) -> float:
-    """Share of the k-mers of the shorter sequence matched within diagonal bands.
-
-    Matches of labelled k-mers are put on their diagonals, which are gathered in
-    bands; matches of a band that keep their order are aligned, and a moved
-    block aligns within a band of its own.
+    The likeness is that of the sets. For the aligned share the common k-mers
+    are put on their diagonals, which are gathered in bands; those of a band
+    that keep their order are aligned, and a moved block aligns within a band of
+    its own. The share is of the k-mers of the shorter sequence.
     """
     if not len(a) or not len(b):
-        return 0.0
-    _, i, j = np.intersect1d(labelled(a), labelled(b), return_indices=True)
-    total = 0
-    if len(i):
-        lane = (i - j) // band
-        order = np.lexsort((i, lane))
-        lane, j = lane[order], j[order]
-        same = lane[1:] == lane[:-1]
-        total = len(j) - int((same & (j[1:] < j[:-1])).sum())
-    return total / min(len(a), len(b))
+        return 0.0, 0.0
+    (x, i), (y, j) = np.unique(a, return_index=True), np.unique(b, return_index=True)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = y[at] == x
+    both = int(common.sum())
+    alike = both / (len(x) + len(y) - both)
+    if not both:
+        return alike, 0.0
+    i, j = i[common], j[at[common]]
+    lane = (i - j) // band
+    order = np.lexsort((i, lane))
+    lane, j = lane[order], j[order]
+    backward = (lane[1:] == lane[:-1]) & (j[1:] < j[:-1])
+    return alike, (both - int(backward.sum())) / min(len(x), len(y))
+
+
+def _char_likeness(a: str, b: str, k: int) -> float:
+    """Likeness of two short texts by their character k-mers; faster on short texts than arrays."""
+    a, b = _SPACE.sub(" ", a.strip().lower()), _SPACE.sub(" ", b.strip().lower())
+    x = {a[i : i + k] for i in range(len(a) - k + 1)}
+    y = {b[i : i + k] for i in range(len(b) - k + 1)}
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x and y else 0.0
 
 
 def _sketch_rows(rules: dict[str, LikenessRule]):
@@ -184,11 +197,12 @@ def _verify_rows(rules: dict[str, LikenessRule]):
             rows: list[list] = [[] for _ in range(5)]
             for f, ka, kb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rule = rules[f]
-                a, b = kmers(tokens(ta, rule, known), rule.k), kmers(tokens(tb, rule, known), rule.k)
-                x = likeness(a, b)
+                if rule.unit == "char" and _char_likeness(ta, tb, rule.k) < rule.threshold - 1e-12:
+                    continue
+                x, aligned = compare(kmers(tokens(ta, rule, known), rule.k), kmers(tokens(tb, rule, known), rule.k))
                 if x < rule.threshold - 1e-12:
                     continue
-                for column, value in zip(rows, (f, ka, kb, x, aligned_share(a, b)), strict=True):
+                for column, value in zip(rows, (f, ka, kb, x, aligned), strict=True):
                     column.append(value)
             types = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["field", "rep_a", "rep_b", "likeness", "aligned"])
