@@ -53,8 +53,8 @@ class LikenessRule:
     agree: int  # sketches in which a candidate pair agrees, at least
 
 
-#: At the threshold itself a pair is a candidate with a probability of 0.9996 and 0.9977, above it more.
-TEXT = LikenessRule("word", 3, 0.6, 3, 32, 1)
+#: At the threshold itself a pair is a candidate with a probability of 0.9997 and 0.9972, above it more.
+TEXT = LikenessRule("word", 3, 0.6, 3, 44, 2)
 TITLE = LikenessRule("char", 3, 0.7, 5, 44, 2)
 
 
