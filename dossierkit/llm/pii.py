@@ -55,8 +55,12 @@ _TITLES, _GIVEN, _ORG = set(TITLES), set(GIVEN), set(ORGANISATION)
 _AT = re.compile(r"\s*[\[(]\s*(?:at|arobase|arroba)\s*[\])]\s*|\s+(?:at|arobase|arroba)\s+", re.IGNORECASE)
 _DOT = r"(?:\s*[\[(]\s*(?:dot|punkt|point|punto)\s*[\])]\s*|\s+(?:dot|punkt|point|punto)\s+|\.)"
 _DOMAIN = re.compile(rf"[\w-]+(?:{_DOT}[\w-]+)*?(?:\s*[\[(]\s*(?:dot|punkt|point|punto)\s*[\])]\s*|\s+(?:dot|punkt|point|punto)\s+)[A-Za-z]{{2,}}\b(?:{_DOT}(?:[a-z]{{2,3}})\b(?=\W*$))?", re.IGNORECASE)
+_DOT_WORD = re.compile(r"\bdot\b|\bDOT\b|\bpunkt\b|\bpunto\b|\bpoint\b")
 _LOCAL = re.compile(rf"[\w+-]+(?:{_DOT}[\w+-]+)*$", re.IGNORECASE)
-_MAIL = re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*@(?:[\w-]+\.)+[A-Za-z]{2,}")
+_MAIL_LOCAL = re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*$")
+_MAIL_DOMAIN = re.compile(r"(?:[\w-]+\.)+[A-Za-z]{2,}")
+#: Five digits or more, near which numbers and postal codes are looked for.
+_DIGITS_AT = re.compile(r"\d(?:[\s().+/-]{0,2}\d){4,}")
 
 _EXT = r"(?:,?\s+(?:ext\.?|extension|x|Durchwahl|poste|extensión)\s?\d{1,5}|,?\s?x\d{1,5})?"
 _NANP = re.compile(r"(?<![\w.+/-])(?<!\d\s)(?:\+?1[\s.-])?(?:\(\d{3}\)\s?|\d{3}[\s.-])\d{3}[\s.-]\d{4}(?![\w-]*\d)" + _EXT)
@@ -126,48 +130,65 @@ def number_spans(text: str) -> list[tuple[int, int, str]]:
         if all(b <= x or a >= y for x, y, _ in found):
             found.append((a, b, kind))
 
-    if "@" in text:
-        for m in _MAIL.finditer(text):
-            add(m.start(), m.end(), "email")
-    low = text.lower()
-    if " dot" in low or "[dot" in low or "(dot" in low or "punkt" in low or "punto" in low or " point" in low or "\ndot" in low:
+    at = text.find("@")
+    while at >= 0:
+        local, domain = _MAIL_LOCAL.search(text, max(0, at - 80), at), _MAIL_DOMAIN.match(text, at + 1)
+        if local and domain:
+            add(local.start(), domain.end(), "email")
+        at = text.find("@", at + 1)
+    if _DOT_WORD.search(text):
         for m in _AT.finditer(text):
             d = _DOMAIN.match(text, m.end())
             if d:
                 local = _LOCAL.search(text, max(0, m.start() - 120), m.start())
                 if local:
                     add(local.start(), d.end(), "email")
-    for m in _ID_FORMS.finditer(text):
-        before = text[max(0, m.start() - 45) : m.start()]
-        if _ID_NOT.search(before):
-            continue
-        if re.fullmatch(r"\d{3}-?\d{2}-?\d{4}|\d+|[a-z]{2}-?\d{7}", m[0]) and "-" not in m[0][:1] and not _ID_CUE.search(before) and not re.fullmatch(r"\d{3}-\d{2}-\d{4}", m[0]):
-            continue
-        add(m.start(), m.end(), "id_number")
-    if _ADDRESS_AT.search(text):
-        for form in _ADDRESSES:
-            for m in form.finditer(text):
-                add(m.start(), m.end(), "address")
-    for m in _ABROAD.finditer(text):
-        s = m[0]
-        for code in (s[1:2], s[1:3], s[1:4]):
-            if code in _DIGITS:
-                s = _cut_to(s, len(code) + _DIGITS[code] + ("(0)" in s))
-                break
+    windows: list[list[int]] = []
+    for m in _DIGITS_AT.finditer(text):
+        a, b = max(0, m.start() - 6), min(len(text), m.end() + 30)
+        if windows and a <= windows[-1][1]:
+            windows[-1][1] = b
         else:
-            s = _cut_to(s, 14)
-        if _digits(s) >= 9:
-            end = m.start() + len(s)
-            add(m.start(), _TAIL.match(text, end).end(), "phone")
-    for m in _NANP.finditer(text):
-        add(m.start(), m.end(), "phone")
-    for m in _HOME.finditer(text):
-        s = m[0]
-        plain = re.sub(r"\D", "", s)
-        s = _cut_to(s, 14 if plain.startswith("00") else 11)
-        if _digits(s) >= 9 and not re.match(r"\d\d[./]\d\d[./]\d{4}", s) and s.count("(") == s.count(")"):
-            end = m.start() + len(s)
-            add(m.start(), _TAIL.match(text, end).end(), "phone")
+            windows.append([a, b])
+    for a, b in windows:
+        for m in _ID_FORMS.finditer(text, a, b):
+            before = text[max(0, m.start() - 45) : m.start()]
+            if _ID_NOT.search(before):
+                continue
+            if re.fullmatch(r"\d{3}-?\d{2}-?\d{4}|\d+|[a-z]{2}-?\d{7}", m[0]) and not _ID_CUE.search(before) and not re.fullmatch(r"\d{3}-\d{2}-\d{4}", m[0]):
+                continue
+            add(m.start(), m.end(), "id_number")
+    done = 0
+    for code in _ADDRESS_AT.finditer(text):
+        # every form ends with a postal code and a town; its beginning is looked for before them
+        a, b = max(done, code.start() - 130), min(len(text), code.end() + 40)
+        for form in _ADDRESSES:
+            for m in form.finditer(text, a, b):
+                if m.end() > code.start():
+                    end = form.match(text, m.start()).end()  # the window may have cut the town
+                    add(m.start(), end, "address")
+                    done = max(done, end)
+    for a, b in windows:
+        for m in _ABROAD.finditer(text, a, b):
+            s = m[0]
+            for code in (s[1:2], s[1:3], s[1:4]):
+                if code in _DIGITS:
+                    s = _cut_to(s, len(code) + _DIGITS[code] + ("(0)" in s))
+                    break
+            else:
+                s = _cut_to(s, 14)
+            if _digits(s) >= 9:
+                end = m.start() + len(s)
+                add(m.start(), _TAIL.match(text, end).end(), "phone")
+        for m in _NANP.finditer(text, a, b):
+            add(m.start(), m.end(), "phone")
+        for m in _HOME.finditer(text, a, b):
+            s = m[0]
+            plain = re.sub(r"\D", "", s)
+            s = _cut_to(s, 14 if plain.startswith("00") else 11)
+            if _digits(s) >= 9 and not re.match(r"\d\d[./]\d\d[./]\d{4}", s) and s.count("(") == s.count(")"):
+                end = m.start() + len(s)
+                add(m.start(), _TAIL.match(text, end).end(), "phone")
     return sorted(found)
 
 
@@ -175,9 +196,13 @@ def _parts(token: str) -> list[str]:
     return [p for p in re.split(r"[-]", _SUFFIX.sub("", token).lower()) if len(p) > 1]
 
 
-def runs(text: str) -> Iterator[list[tuple[str, int, int]]]:
-    """Runs of capitalised words and initials: (word, start, end)."""
+def runs(text: str, single: Counter | None = None) -> Iterator[list[tuple[str, int, int]]]:
+    """Runs of capitalised words and initials: (word, start, end). Words that stand alone are only counted, in ``single``, if it is given."""
     for m in _RUN.finditer(text):
+        run = m[0]
+        if single is not None and run.isalpha():
+            single[run] += 1
+            continue
         out: list[tuple[str, int, int]] = []
         for t in _TOKEN.finditer(text, m.start(), m.end()):
             word, a, b = t[0], t.start(), t.end()
@@ -290,22 +315,30 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column.append(value)
 
         seen: Counter = Counter()
+        single: Counter = Counter()
         protected: Counter = Counter()
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             spans = number_spans(text)
             for a, b, kind in spans:
                 row("span", doc, kind, a, b, None, None, None, None, None, None, None)
-            for tokens in runs(text):
+            for tokens in runs(text, single):
+                if len(tokens) == 1:
+                    single[tokens[0][0]] += 1
+                    if tokens[0][0].lower() not in _TITLES:
+                        continue
                 for (t, _, _), near in zip(tokens, _protected(tokens), strict=True):
-                    for p in _parts(t):
-                        seen[p] += 1
-                        protected[p] += near
+                    single[t] += len(tokens) > 1
+                    if near:
+                        protected.update(_parts(t))
                 if _is_candidate(text, tokens):
                     a, b = tokens[0][1], tokens[-1][2]
                     free = [t for t in tokens if all(t[2] <= x or t[1] >= y for x, y, _ in spans if x < b and y > a)]
                     if free:
                         commas = ["," in text[x[2] : y[1]] for x, y in zip(free, free[1:], strict=False)] + [False]
                         row("run", doc, None, None, None, [t for t, _, _ in free], [x for _, x, _ in free], [x for _, _, x in free], commas, None, None, None)
+        for word, count in single.items():
+            for p in _parts(word):
+                seen[p] += count
         for term, count in seen.items():
             row("term", None, None, None, None, None, None, None, None, term, count, protected[term])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
