@@ -170,15 +170,15 @@ def build(store: Store, documents: DataFrame, artifacts: DataFrame, force: bool
     store.write("_ingest_state", watermark(rows))
 
 
-def apply(store: Store, documents: DataFrame, artifacts: DataFrame, since: str | None = None) -> ApplyStats:
-    """Incremental run over records modified at or after ``since`` (else the stored watermark).
+def apply(store: Store, documents: DataFrame, artifacts: DataFrame, since: str | None = None, everything: bool = False) -> ApplyStats:
+    """Incremental run over records modified at or after ``since`` (else the stored watermark), or over all that are given.
 
     Order, for the sake of crashes: documents and artifacts, then derived rows,
     then the watermark, which never falls. Running it again changes nothing.
     """
     known = store.read("_ingest_state").first() if store.exists("_ingest_state") else None
     mark = known["watermark"] if known else None
-    bound = since if since is not None else mark
+    bound = None if everything else since if since is not None else mark
     rows = documents if bound is None else documents.where(F.col("ddmudate") >= bound)
     rows = rows.dropDuplicates(["id"])
     parts = artifacts.join(rows.select("id"), "id", "left_semi")

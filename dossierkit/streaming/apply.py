@@ -25,7 +25,7 @@ def stream_apply(records: DataFrame, store: Store, checkpoint: str) -> Streaming
         try:
             documents, artifacts = mapped.drop("artifacts"), explode_artifacts(mapped)
             if store.exists("documents"):
-                apply(store, documents, artifacts, since="")
+                apply(store, documents, artifacts, everything=True)
             else:
                 build(store, documents, artifacts)
         finally:
