@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +46,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a session.
+
+    Workers that don't share the driver's import path get it as a zip in the
+    shared folder, which Spark distributes.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_dossierkit_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(Path(package.name) / p.relative_to(package))), p.read_bytes())
+    body = buffer.getvalue()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{package.name}-{hashlib.md5(body).hexdigest()[:12]}-{uuid.uuid4().hex[:8]}.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(body))
+    out.close()
+    sc.addPyFile(path.toString())
+    sc._dossierkit_shipped = True
