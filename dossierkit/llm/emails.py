@@ -47,6 +47,7 @@ _DIVIDER_SHAPE = re.compile(r"\s*[-=(*_\[].*[-=)*_:\]]\s*$|[^.?!]*:\s*$")
 _INTRO_END = re.compile(r"(?:\b(?:wrote|said|schrieb|a écrit|écrit|escribió|écrivait|writes)\b.*:|\bhad written:?|'s note said:|\bnote said:)\s*$", re.IGNORECASE)
 _INTRO_START = re.compile(r"\s*(?:On|Am|Le|El)\s.*\d")
 _DATED_COLON = re.compile(r".*\d{1,4}.*(?:\d|\)|[A-Za-zÀ-ÿ>])\s?:\s*$")
+_QUOTING = re.compile(r"\s*Quoting \([^)]*\d[^)]*\).{0,120}:\s*$")
 _CLOSING = re.compile(
     r"\s*(?:(?:kind|best|warm|many|with|warmest|kindest)\s+(?:thanks\s+and\s+)?regards|many thanks(?: and regards)?|regards|best wishes|best|sincerely(?: yours)?|yours(?: (?:sincerely|truly|faithfully|ever))?|cheers|thanks(?: again)?|thank you|thx|"
     r"respectfully|cordially|all the best|take care|mit (?:freundlichen|besten|herzlichen) gr(?:ü|ue)(?:ß|ss)en|(?:viele|beste|herzliche|liebe|freundliche) gr(?:ü|ue)(?:ß|ss)e|mfg|hochachtungsvoll|"
@@ -147,8 +148,14 @@ def _intro(lines: list[Line], i: int) -> int:
     body = lines[i].body
     if _DIVIDER.match(body) and _DIVIDER_SHAPE.match(body):
         return 1
-    if _INTRO_END.search(body):
+    if _INTRO_END.search(body) or _QUOTING.match(body):
         return 1
+    if body.startswith("Quoting ("):
+        for n in range(2, 5):
+            if i + n > len(lines) or not lines[i + n - 1].body:
+                break
+            if _QUOTING.match(" ".join(x.body for x in lines[i : i + n])):
+                return n
     joined = body
     for n in range(2, 5):
         if i + n > len(lines) or not lines[i + n - 1].body or lines[i + n - 1].depth != lines[i].depth:
@@ -190,6 +197,11 @@ def not_written(text: str, inherited: np.ndarray | None = None) -> list[int]:
             if alone and (re.match(r"\d", lines[i].body) or lines[i].body.endswith("|")):
                 marked[i] = False
 
+    # what a mail program broke off a marked line stands without its mark, with no blank line between
+    for i in range(1, n):
+        if not marked[i] and not blank[i] and marked[i - 1] and lines[i - 1].body and lines[i].words <= 4:
+            marked[i] = len(lines[i - 1].body) > 25 and len(lines[i].body) < 45 and not _intro(lines, i) and not _CLOSING.match(lines[i].body) and (lines[i].words <= 2 or i + 1 < n and marked[i + 1])
+
     out = [bool(m) for m in marked]
     quoted_below = [False] * n  # lines of a quote that bears no marks
     i = 0
@@ -258,6 +270,15 @@ def not_written(text: str, inherited: np.ndarray | None = None) -> list[int]:
         _fill_short(lines, blank, took, out)
 
     _signatures(lines, blank, out)
+    for x, y in _paragraphs(blank, 0, n):
+        start = x + 1 if _RULE.match(lines[x].body) and x + 1 < y else x
+        if not lines[start].depth and _DISCLAIMER.match(lines[start].body) and out[start]:
+            for k in range(x, y):
+                out[k] = True
+    full = [i for i in range(n) if not blank[i]]
+    for k, i in enumerate(full):
+        if not out[i] and _RULE.match(lines[i].body) and (k and out[full[k - 1]] or k + 1 < len(full) and out[full[k + 1]]):
+            out[i] = True
     return [i + 1 for i in range(n) if out[i] and not blank[i]]
 
 
