@@ -6,10 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fnv import with_fnv1a
+from ..operators import ann
 from ..operators import artifacts as A
 from ..operators import ingest as I
 from ..operators import lookup as L
+from ..operators import maintenance
 from ..operators import mapping as M
+from ..operators import vectors as V
 from ..operators.graph import related
 from ..operators.sqlguard import describe_schema, frame
 from ..schema import LISTS, items, size
@@ -383,6 +387,45 @@ def sql_describe_schema(spark: SparkSession, d: str) -> DataFrame:
     return describe_schema(spark, {t: table(spark, d, t) for t in ("doc_meta", "artifacts", "documents")})
 
 
+# Counts, samples, index
+
+
+@query("""SELECT (SELECT count(*) FROM doc_meta) AS documents, count(*) AS artifacts, count(*) FILTER (media_type = 'text/plain') AS text_artifacts, count(*) FILTER (media_type <> 'text/plain') AS raw_artifacts FROM artifacts""")
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.counts(table(spark, d, "doc_meta"), table(spark, d, "artifacts"))
+
+
+@query("SELECT id, title, ddmudate FROM doc_meta WHERE ddmudate >= '2020-06-01' ORDER BY id LIMIT 1")
+def sample_document(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.sample_document(table(spark, d, "doc_meta"), "2020-06-01").select("id", "title", "ddmudate")
+
+
+@query("SELECT count(DISTINCT id) AS documents, count(*) AS chunks, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM artifact_text WHERE text IS NOT NULL")
+def index_stats(spark: SparkSession, d: str) -> DataFrame:
+    return maintenance.index_stats(table(spark, d, "artifact_text").where("text IS NOT NULL").select(F.col("id").alias("doc_id"), "text"))
+
+
+@query()
+def fnv1a_digest(spark: SparkSession, d: str) -> DataFrame:
+    return with_fnv1a(table(spark, d, "doc_meta").select("id", "search_text"), "search_text", "fnv").select("id", "fnv").distinct()
+
+
+@query()
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return ann.search(ann.build(vectors, "vec_id", "embedding"), vectors.where("vec_id % 100 = 0"), 10)
+
+
+@query()
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the share of the exact ten nearest that the index finds, over all queries."""
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0")
+    exact = V.nearest(asked, vectors, "vec_id", "embedding", 10).select("query_id", "vec_id")
+    found = ann.search(ann.build(vectors, "vec_id", "embedding"), asked, 10).select("query_id", "vec_id", F.lit(1.0).alias("hit"))
+    return exact.join(found, ["query_id", "vec_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 4).alias("recall"), F.count("*").alias("n"))
+
+
 # Streaming
 
 

@@ -204,3 +204,35 @@ def test_tools(spark):
     assert archive.run_sql("SELECT count(*) AS n FROM documents").rows == [{"n": 3}]
     assert {r["table_name"] for r in archive.describe_schema()} == {"documents", "artifacts", "chunks"}
     assert "error" in Archive(spark, docs, arts).hybrid_search("x")
+
+
+def test_index_recall(spark):
+    import numpy as np
+
+    from dossierkit.operators import ann
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 0.4 * rng.normal(size=16)).tolist()) for i in range(2000)] + [(9999, None)]
+    df = spark.createDataFrame(rows, "k long, v array<float>")
+    asked = df.where("k % 100 = 0")
+    exact = {tuple(r) for r in nearest(asked, df, "k", "v", 10).select("query_id", "k").collect()}
+    got = {tuple(r) for r in ann.search(ann.build(df, "k", "v"), asked, 10).select("query_id", "k").collect()}
+    assert len(exact & got) >= 0.9 * len(exact)
+    few = df.where("k < 100")
+    assert {tuple(r) for r in ann.search(ann.build(few, "k", "v"), asked, 3).select("query_id", "k").collect()} == {tuple(r) for r in nearest(asked, few, "k", "v", 3).select("query_id", "k").collect()}
+
+
+def test_maintenance(spark, tmp_path):
+    from dossierkit.functions.fnv import fnv1a, with_fnv1a
+    from dossierkit.operators.maintenance import compact, format_bytes, format_count, sample_document
+
+    assert [int(x) for x in fnv1a([b"", b"a", b"foobar"])] == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
+    df = spark.createDataFrame([("b", "a", "2"), ("a", None, "1")], "id string, t string, ddmudate string")
+    assert {r["id"]: r["h"] for r in with_fnv1a(df, "t", "h").collect()} == {"b": "af63dc4c8601ec8c", "a": None}
+    assert sample_document(df).first()["id"] == "a" and sample_document(df, "2").first()["id"] == "b"
+    store = Store(spark, str(tmp_path))
+    store.write("documents", df.repartition(4))
+    compact(store, "documents")
+    assert store.version("documents") == 2 and [r["id"] for r in store.read("documents").collect()] == ["a", "b"]
+    assert format_bytes(1536) == "1.5 KiB" and format_bytes(5) == "5 B" and format_count(2_500_000) == "2.5M"
