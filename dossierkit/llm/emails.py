@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Letters from which a line is running text, whatever it looks like.
+LONG = 400
 #: Words of a shingle, and shingles of a window of which one is kept.
 SHINGLE, WINDOW = 6, 6
 
@@ -146,19 +148,21 @@ def inherited_words(n_words: int, at: np.ndarray, source: np.ndarray, source_at:
 def _intro(lines: list[Line], i: int) -> int:
     """Number of lines, from line i, of an introduction to a quote that follows; 0 if there is none."""
     body = lines[i].body
+    if len(body) > LONG:
+        return 0
     if _DIVIDER.match(body) and _DIVIDER_SHAPE.match(body):
         return 1
     if _INTRO_END.search(body) or _QUOTING.match(body):
         return 1
     if body.startswith("Quoting ("):
         for n in range(2, 5):
-            if i + n > len(lines) or not lines[i + n - 1].body:
+            if i + n > len(lines) or not lines[i + n - 1].body or len(lines[i + n - 1].body) > LONG:
                 break
             if _QUOTING.match(" ".join(x.body for x in lines[i : i + n])):
                 return n
     joined = body
     for n in range(2, 5):
-        if i + n > len(lines) or not lines[i + n - 1].body or lines[i + n - 1].depth != lines[i].depth:
+        if i + n > len(lines) or not lines[i + n - 1].body or lines[i + n - 1].depth != lines[i].depth or len(joined) > LONG:
             break
         joined += " " + lines[i + n - 1].body
         if (_INTRO_START.match(body) or re.search(r"\d|<", joined)) and _INTRO_END.search(joined) and len(joined) < 200 and re.search(r"\b(wrote|schrieb|écrit|escribió|said)\b", joined):
@@ -171,6 +175,8 @@ def _header(lines: list[Line], i: int) -> int:
     n = i
     hits = 0
     while n < len(lines) and lines[n].depth == lines[i].depth and lines[n].body:
+        if len(lines[n].body) > LONG:
+            break
         if _HEADER.match(lines[n].body):
             hits += 1
         elif hits == 0 or len(lines[n].body) > 100 or n - i > 8 or not _HEADER.match(lines[n - 1].body):
@@ -200,7 +206,7 @@ def not_written(text: str, inherited: np.ndarray | None = None) -> list[int]:
     # what a mail program broke off a marked line stands without its mark, with no blank line between
     for i in range(1, n):
         if not marked[i] and not blank[i] and marked[i - 1] and lines[i - 1].body and lines[i].words <= 4:
-            marked[i] = len(lines[i - 1].body) > 25 and len(lines[i].body) < 45 and not _intro(lines, i) and not _CLOSING.match(lines[i].body) and (lines[i].words <= 2 or i + 1 < n and marked[i + 1])
+            marked[i] = len(lines[i - 1].body) > 25 and len(lines[i].body) < 45 and not _intro(lines, i) and not _is(_CLOSING, lines[i].body) and (lines[i].words <= 2 or i + 1 < n and marked[i + 1])
 
     out = [bool(m) for m in marked]
     quoted_below = [False] * n  # lines of a quote that bears no marks
@@ -272,7 +278,7 @@ def not_written(text: str, inherited: np.ndarray | None = None) -> list[int]:
     _signatures(lines, blank, out)
     for x, y in _paragraphs(blank, 0, n):
         start = x + 1 if _RULE.match(lines[x].body) and x + 1 < y else x
-        if not lines[start].depth and _DISCLAIMER.match(lines[start].body) and out[start]:
+        if not lines[start].depth and _DISCLAIMER.match(lines[start].body[:LONG]) and out[start]:
             for k in range(x, y):
                 out[k] = True
     full = [i for i in range(n) if not blank[i]]
@@ -282,6 +288,10 @@ def not_written(text: str, inherited: np.ndarray | None = None) -> list[int]:
     return [i + 1 for i in range(n) if out[i] and not blank[i]]
 
 
+def _is(form: re.Pattern, body: str) -> bool:
+    return len(body) <= LONG and form.match(body) is not None
+
+
 def _paragraphs(blank: list[bool], a: int, b: int) -> list[tuple[int, int]]:
     out, start = [], None
     for k in range(a, b):
@@ -302,9 +312,9 @@ def _release_answers(lines: list[Line], blank: list[bool], took: np.ndarray, quo
     held = [any(took[k] for k in range(x, y)) for x, y in paragraphs]
     for p, (x, y) in enumerate(paragraphs):
         words = sum(lines[k].words for k in range(x, y))
-        if held[p] or words < 8 or _DISCLAIMER.match(lines[x].body) or _CLOSING.match(lines[x].body) or _header(lines, x) or _intro(lines, x):
+        if held[p] or words < 8 or _DISCLAIMER.match(lines[x].body[:LONG]) or _is(_CLOSING, lines[x].body) or _header(lines, x) or _intro(lines, x):
             continue
-        if _CARD.match(lines[x].body) or any(_PHONE.match(lines[k].body) for k in range(x, y)):
+        if _is(_CARD, lines[x].body) or any(_is(_PHONE, lines[k].body) for k in range(x, y)):
             continue
         if any(held[p + 1 :]) or any(held[:p]):
             for k in range(x, y):
@@ -340,7 +350,7 @@ def _close_stretch(lines: list[Line], blank: list[bool], out: list[bool], a: int
     before = a - 1
     while before >= 0 and blank[before]:
         before -= 1
-    if before >= 0 and not lines[before].depth and _CLOSING.match(lines[before].body):
+    if before >= 0 and not lines[before].depth and _is(_CLOSING, lines[before].body):
         end = _signature_end(lines, blank, before, b)  # the formula went with an inherited span
         for x in range(a, end):
             out[x] = True
@@ -352,11 +362,11 @@ def _close_stretch(lines: list[Line], blank: list[bool], out: list[bool], a: int
             continue
         start = None
         fresh = k == a or blank[k - 1] or out[k - 1]
-        if _CLOSING.match(body):
+        if _is(_CLOSING, body):
             start = k
-        elif (_DASHES.match(body) or _SENT_FROM.match(body)) and _short_tail(lines, blank, k + 1, b):
+        elif (_is(_DASHES, body) or _is(_SENT_FROM, body)) and _short_tail(lines, blank, k + 1, b):
             start = k
-        elif fresh and (_CARD.match(body) or _contact_paragraph(lines, blank, k, b)):
+        elif fresh and (_is(_CARD, body) or _contact_paragraph(lines, blank, k, b)):
             start = k
         if start is not None:
             end = _signature_end(lines, blank, start, b)
@@ -364,8 +374,8 @@ def _close_stretch(lines: list[Line], blank: list[bool], out: list[bool], a: int
                 out[x] = True
             k = end
             continue
-        if fresh and _DISCLAIMER.match(body) or (_RULE.match(body) and k + 1 < b and _DISCLAIMER.match(lines[k + 1].body)):
-            if _DISCLAIMER.match(body) and k > a and _RULE.match(lines[k - 1].body):
+        if fresh and _DISCLAIMER.match(body[:LONG]) or (_RULE.match(body) and k + 1 < b and _DISCLAIMER.match(lines[k + 1].body[:LONG])):
+            if _DISCLAIMER.match(body[:LONG]) and k > a and _RULE.match(lines[k - 1].body):
                 out[k - 1] = True
             while k < b and not blank[k]:
                 out[k] = True
@@ -385,7 +395,7 @@ def _contact_paragraph(lines: list[Line], blank: list[bool], k: int, b: int) ->
     while end < b and not blank[end]:
         end += 1
     body = [lines[x].body for x in range(k, end)]
-    return 1 <= len(body) <= 7 and max(map(len, body)) <= 70 and any(_PHONE.match(x) or _CARD.match(x) for x in body) and not any(x.endswith((".", ";")) and len(x) > 45 for x in body)
+    return 1 <= len(body) <= 7 and max(map(len, body)) <= 70 and any(_is(_PHONE, x) or _is(_CARD, x) for x in body) and not any(x.endswith((".", ";")) and len(x) > 45 for x in body)
 
 
 def _short_tail(lines: list[Line], blank: list[bool], k: int, b: int) -> bool:
@@ -409,7 +419,7 @@ def _signature_end(lines: list[Line], blank: list[bool], start: int, b: int) ->
             body = [lines[x].body for x in range(k, end)]
             inner = [x for x in body if not _RULE.match(x)]
             words = sum(lines[x].words for x in range(k, end))
-            if inner and not _DISCLAIMER.match(inner[0]) and not _SENT_FROM.match(inner[0]) and not _contact_paragraph(lines, blank, k, b):
+            if inner and not _DISCLAIMER.match(inner[0][:LONG]) and not _is(_SENT_FROM, inner[0]) and not _contact_paragraph(lines, blank, k, b):
                 running = words > 14 or any(x.endswith((".", "?")) and len(x.split()) > 5 for x in inner)
                 if running:
                     return k

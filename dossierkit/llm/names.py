@@ -7,7 +7,8 @@ cosine; of these, those remain that a comparison part by part finds compatible.
 Spellings with one compatible party form that party's cluster, and a spelling
 that several parties could mean goes to the cluster of greatest average linkage.
 
-Defined cases: null, empty and blank elements are not names; a spelling that no
+Defined cases: null, empty and blank elements, and those of more than ``LONGEST``
+letters, are not names; a spelling that no
 registry entry is compatible with means none; an exact tie of clusters goes to
 the smaller party_id; exact duplicate rows and repeated elements count once; an
 empty registry links nothing; further columns are ignored.
@@ -29,6 +30,9 @@ from ..session import materialise
 #: Registry entries of greatest cosine that are compared part by part, and the least cosine.
 NEAREST, LEAST_COSINE = 16, 0.01
 
+#: Letters beyond which an element is no name.
+LONGEST = 1000
+
 # Titles, degrees, legal forms, and given names with their usual short forms.
 TITLES = "dr prof hon mr mrs ms miss sir dame herr frau mme mlle professor doctor".split()
 DEGREES = "esq md phd jr sr jd llm mba cpa rn pharmd ii iii iv".split()
@@ -86,6 +90,8 @@ class Written:
 
 
 def parse(written: str) -> Written:
+    if len(written) > LONGEST:
+        return Written((), False, "", None)
     s = plain(written).strip()
     mail, house = None, ""
     m = _MAIL.search(s)

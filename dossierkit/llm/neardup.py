@@ -10,7 +10,7 @@ k-mer sets.
 Exact copies (equal words, or equal normalised titles) collapse into classes
 before anything is paired; classes are expanded again at the end.
 
-Defined cases: null texts and texts with fewer than k tokens are like nothing;
+Defined cases: null texts, null keys and texts with fewer than k tokens are like nothing;
 exact duplicate rows count once; a class of at most ``EXPAND`` copies is expanded
 into all its pairs, a larger one links each copy with the class's first key, and
 its links with other classes go through that key, so no link is lost; further
