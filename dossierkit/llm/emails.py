@@ -48,7 +48,6 @@ _DIVIDER = re.compile(
 _DIVIDER_SHAPE = re.compile(r"\s*[-=(*_\[].*[-=)*_:\]]\s*$|[^.?!]*:\s*$")
 _INTRO_END = re.compile(r"(?:\b(?:wrote|said|schrieb|a écrit|écrit|escribió|écrivait|writes)\b.*:|\bhad written:?|'s note said:|\bnote said:)\s*$", re.IGNORECASE)
 _INTRO_START = re.compile(r"\s*(?:On|Am|Le|El)\s.*\d")
-_DATED_COLON = re.compile(r".*\d{1,4}.*(?:\d|\)|[A-Za-zÀ-ÿ>])\s?:\s*$")
 _QUOTING = re.compile(r"\s*Quoting \([^)]*\d[^)]*\).{0,120}:\s*$")
 _CLOSING = re.compile(
     r"\s*(?:(?:kind|best|warm|many|with|warmest|kindest)\s+(?:thanks\s+and\s+)?regards|many thanks(?: and regards)?|regards|best wishes|best|sincerely(?: yours)?|yours(?: (?:sincerely|truly|faithfully|ever))?|cheers|thanks(?: again)?|thank you|thx|"
