@@ -16,7 +16,6 @@ SCALAR_FIELDS = {
 }
 LIST_FIELDS = {"custodian": "custodian", "authors": "au", "recipients": "rc", "cc": "cc", "attachments": "attachment", "related": "related", "mentions": "mentioned"}
 UNIT, ELEMENT = "\x1f", "\x1e"
-_ARTIFACT = "array<struct<name:string,mediaType:string,size:bigint,md5:string>>"
 
 
 def _kind(v: Column) -> Column:

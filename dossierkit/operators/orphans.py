@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import bloom
 
 #: A key that more than 1/200 of all references name is joined by broadcast: at most 200 such keys exist.
@@ -64,15 +65,16 @@ def find_orphans(refs: DataFrame, parents: Parents, n_blocks: int | None = None)
     ``bloom.MAX_BLOCKS`` blocks; beyond that many keys it lets more references
     through to the exact join, never fewer.
     """
-    live = live_parents(parents)
-    n_blocks = n_blocks or bloom.blocks_for(parents.rows.count())
-    flagged = bloom.probe(refs, "key", bloom.build(live, "key", n_blocks), n_blocks, "maybe")
+    # both are used several times below: as tables they are computed once
+    live = materialise(live_parents(parents), "live-parents")
+    n_blocks = n_blocks or bloom.blocks_for(live.count())
+    flagged = materialise(bloom.probe(refs, "key", bloom.build(live, "key", n_blocks), n_blocks, "maybe"), "flagged-references")
     definite = flagged.where(~F.col("maybe")).drop("maybe")
     positive = flagged.where("maybe").drop("maybe")
 
     # Positive references to one hot key would all meet in one task: such keys,
     # at most HOT_SHARE of them by construction, are verified by broadcast.
-    least = refs.count() / HOT_SHARE
+    least = flagged.count() / HOT_SHARE
     hot = positive.groupBy("key").count().where(F.col("count") > least).select("key", F.lit(True).alias("hot"))
     marked = positive.join(F.broadcast(hot), "key", "left")
 
@@ -115,8 +117,7 @@ def archive_orphans(doc_meta: DataFrame, graph_edges: DataFrame, withdrawals: Da
         doc_meta.select(id_key(F.col("id")).alias("key"), F.col("ingested_at").alias("there_from")),
         withdrawals.select(id_key(F.col("id")).alias("key")),
     )
-    n_blocks = bloom.blocks_for(doc_meta.count())
-    return find_orphans(bates, by_bates, n_blocks).unionByName(find_orphans(edges, by_id, n_blocks)).drop("key")
+    return find_orphans(bates, by_bates).unionByName(find_orphans(edges, by_id)).drop("key")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
