@@ -119,13 +119,16 @@ def parse(written: str) -> Written:
 
 
 def grams(parts: tuple[str, ...]) -> list[str]:
-    """Character trigrams of the parts, the first letter and the first with the last; short forms also as the names they stand for."""
+    """Character trigrams of the parts and their first letter with the last; short forms also as the names they stand for.
+
+    Initials alone have none: they would join every name with a tenth of the registry.
+    """
     out = []
     for p in parts:
         if p in LEGAL:
             continue
         for q in {p, *_FORMAL.get(p, ())}:
-            out += ["^" + q[0], f"{q[0]}..{q[-1]}"] if len(q) > 1 else ["^" + q[0]]
+            out += [f"{q[0]}..{q[-1]}"] if len(q) > 1 else []
             padded = f"^{q}$"
             out += [padded[i : i + 3] for i in range(len(padded) - 2)] if len(q) > 1 else []
     return out
