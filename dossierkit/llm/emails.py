@@ -363,7 +363,7 @@ def _close_stretch(lines: list[Line], blank: list[bool], out: list[bool], a: int
         fresh = k == a or blank[k - 1] or out[k - 1]
         if _is(_CLOSING, body):
             start = k
-        elif (_is(_DASHES, body) or _is(_SENT_FROM, body)) and _short_tail(lines, blank, k + 1, b):
+        elif _is(_SENT_FROM, body) or _is(_DASHES, body) and _short_tail(lines, blank, k + 1, b):
             start = k
         elif fresh and (_is(_CARD, body) or _contact_paragraph(lines, blank, k, b)):
             start = k
