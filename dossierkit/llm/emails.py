@@ -41,7 +41,7 @@ _HEADER = re.compile(
     re.IGNORECASE,
 )
 _DIVIDER = re.compile(
-    r"\s*(?:[-=_*~ ]*(?:-{2,}|={2,}|_{4,})\s*)?(?:begin forwarded message|forwarded message|original message|earlier mail below|earlier note below|ursprüngliche nachricht|weitergeleitete nachricht|"
+    r"\s*[(\[]?(?:[-=_*~ ]*(?:-{2,}|={2,}|_{4,})\s*)?(?:begin forwarded message|forwarded message|original message|earlier mail below|earlier note below|ursprüngliche nachricht|weitergeleitete nachricht|"
     r"anfang der weitergeleiteten nachricht|message d'origine|message d’origine|message transféré|message original|mensaje original|mensaje reenviado|pasting what came in before)\b",
     re.IGNORECASE,
 )
