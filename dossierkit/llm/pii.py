@@ -260,7 +260,7 @@ def name_spans(tokens: list[str], starts: list[int], ends: list[int], commas: li
                 if commas[j - 1]:
                     break
             last = j - 1
-            while j < n and sure[j] and not commas[j - 1] and j - i <= 5:
+            while j < n and (sure[j] or known[j] and last > i and (given[last] or initial[last])) and not commas[j - 1] and j - i <= 5:
                 last, j = j, j + 1
             if last == i and i + 1 < n and not title[i + 1]:
                 last, j = i + 1, i + 2  # a surname of which the corpus knows no more
