@@ -42,7 +42,7 @@ BLOOM_BITS = 1 << 20
 
 # Glyphs as printed and what recognition makes of them.
 CONFUSIONS = {
-    "e": ["c"], "c": ["e"], "t": ["†"], "a": ["á"], "n": ["ri"], "o": ["0"], "l": ["1", "|"], "i": ["1", "|"], "s": ["5"], "d": ["cl", "c1"], "u": ["ii"], "m": ["rn"], "g": ["9"],
+    "e": ["c"], "c": ["e"], "t": ["†"], "a": ["á"], "n": ["ri"], "o": ["0"], "l": ["1", "|", "!"], "i": ["1", "|", "!"], "s": ["5"], "d": ["cl", "c1"], "u": ["ii"], "m": ["rn"], "g": ["9"],
     "f": ["ſ"], "h": ["b"], "b": ["6"], "w": ["vv"],
 }
 _BACK: dict[str, list[str]] = defaultdict(list)
@@ -50,12 +50,13 @@ for _true, _seen in CONFUSIONS.items():
     for _s in _seen:
         _BACK[_s].append(_true)
 
-_TOKEN = re.compile(r"[\w†|]+")
-_BREAK = re.compile(r"(?<=\w)([-­‐‑¬])[ \t]*$")
+# an exclamation mark is a letter's glyph only before another letter
+_TOKEN = re.compile(r"!?[\w†|]+(?:![\w†|]+)*")
+_BREAK = re.compile(r"(?:(?<=\w)|(?<=\w!))([-­‐‑¬])[ \t]*$")
 _SIGNS = frozenset("-­‐‑¬")
-_JOIN = re.compile(r"(?<=\w)[-­‐‑¬][ \t]*\r?\n\s*(?=\w)")
-_GLYPH = re.compile(r"^(?=.{4,})(?=(?:.*[a-zà-ÿ]){3})(?:[†ſ|0-9]?[a-zà-ÿ†ſ]+)*[†ſ|0-9]?$", re.IGNORECASE)
-_SIGN = re.compile(r"[†ſ|01569]")
+_JOIN = re.compile(r"(?:(?<=\w)|(?<=\w!))[-­‐‑¬][ \t]*\r?\n\s*(?=!?\w)")
+_GLYPH = re.compile(r"^(?=.{4,})(?=(?:.*[a-zà-ÿ]){3})(?:[†ſ|!0-9]?[a-zà-ÿ†ſ]+)*[†ſ|!0-9]?$", re.IGNORECASE)
+_SIGN = re.compile(r"[†ſ|!01569]")
 
 _N = r"(?P<n>[\dlIO|]{1,4}|[ivxlc]{1,7})"
 _NUMBERS = [
@@ -246,7 +247,7 @@ def broken_lines(text: str, skip: dict[int, str]) -> list[tuple[int, int]]:
         if lines[i][-1] in _SIGNS and _BREAK.search(lines[i]):
             mark = re.match(r"\s*(?:(?:[A-Z]{2,3}>|[>|:])\s*)*", lines[j])
             head = lines[j][mark.end() :] if re.match(r"\s*(?:[A-Z]{2,3}>|[>|:])", lines[i]) else lines[j].lstrip()
-            if head[:1].isalnum() or head[:1] in "†|":
+            if head[:1].isalnum() or head[:1] in "†|" or (head[:1] == "!" and head[1:2].isalpha()):
                 out.append((i, j))
     return out
 
@@ -283,7 +284,7 @@ def taken_back(word: str, most: int = 2) -> set[str]:
     forms = {""}
     i, out = 0, {""}
     for c in word:
-        options = _BACK[c] if c in "†ſ|" or (c.isdigit() and c in _BACK) else [c]
+        options = _BACK[c] if c in "†ſ|!" or (c.isdigit() and c in _BACK) else [c]
         forms = {f + o for f in forms for o in options[:2]}
         if len(forms) > 16:
             break
@@ -369,14 +370,16 @@ def line_words(text: str, skip: dict[int, str], breaks: list[tuple[int, int]], c
     lines = [x.replace("\f", " ").rstrip("\r").lower() for x in text.split("\n")]
     halves: set[tuple[int, int]] = set()  # (line, place of the word) of the parts of broken words
     for i, j in breaks:
-        first = list(_TOKEN.finditer(_BREAK.sub("", lines[i])))
+        cut = _BREAK.sub("", lines[i])
+        first = _TOKEN.findall(cut)
         rest = _TOKEN.search(lines[j])
         if first and rest:
             halves.add((i, len(first) - 1))
             halves.add((j, 0))
-            word = first[-1][0] + rest[0]
+            left = first[-1] + "!" * cut.endswith("!")
+            word = left + rest[0]
             if code(word):
-                yield i, word, len(first[-1][0])
+                yield i, word, len(left)
     wanted = {w for w in set(_TOKEN.findall(text.lower())) if code(w)}
     if not wanted:
         return
@@ -394,7 +397,7 @@ def _looks_misread(word: str) -> bool:
     """Signs inside a word that no word has."""
     if not _SIGN.search(word) or not _GLYPH.match(word):
         return False
-    return len(re.findall(r"[†ſ|0-9]", word)) <= 3 and not re.fullmatch(r"\d+(?:st|nd|rd|th|er|ème|mg|ml|kg|km)|[a-z]{1,3}\d+|\w*\d{2,}", word)
+    return len(re.findall(r"[†ſ|!0-9]", word)) <= 3 and not re.fullmatch(r"\d+(?:st|nd|rd|th|er|ème|mg|ml|kg|km)|[a-z]{1,3}\d+|\w*\d{2,}", word)
 
 
 def _page_rows(filter_bytes: bytes):
@@ -447,7 +450,7 @@ def _scanned(artifact_text: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = rows.where("word IS NULL").select("name", "line_no", "defect", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("form"))
     tried = rows.where("word IS NOT NULL").join(fixes, "word", "left").where(F.col("form").isNotNull() | (F.col("defect") == "misread"))
     # of a broken word, the line on which the wrong letter stands has the defect
-    sign = F.regexp_instr("word", F.lit("[†ſ|0-9]")) - 1
+    sign = F.regexp_instr("word", F.lit("[†ſ|!0-9]")) - 1
     at = F.when(F.col("form").isNotNull(), _first_difference(F.col("word"), F.col("form"))).otherwise(sign)
     placed = tried.withColumn("line_no", F.when(F.col("next_no").isNotNull() & (at >= F.col("here")), F.col("next_no")).otherwise(F.col("line_no")))
     return plain.unionByName(placed.select("name", "line_no", F.lit("misread").alias("defect"), "word", "form")), texts

@@ -42,3 +42,14 @@ def test_corpus(spark):
     bad = [r["text"] for r in repaired(df).where("name = 'bad'").collect()]
     assert "the delivery of the container was entirely approved before the annual audit of the hospital" in bad
     assert defects(df.limit(0)).count() == 0
+
+
+def test_exclamation_mark_for_i(spark):
+    assert "against" in taken_back("aga!nst") and "delivery" in taken_back("de!ivery") and "index" in taken_back("!ndex")
+    clean = "the witness spoke against the index of the patient records\n"
+    rows = [(f"c{i}", clean * 3) for i in range(20)] + [("bad", "the witness spoke aga!nst it\nand the !ndex was\nof the pat!-\nent and aga-\n!nst it. Stop! Go on!")]
+    df = spark.createDataFrame(rows, "name string, text string")
+    got = {tuple(r) for r in defects(df).collect()}
+    assert got == {("bad", 1, "misread"), ("bad", 2, "misread"), ("bad", 3, "split_word"), ("bad", 3, "misread"), ("bad", 4, "split_word"), ("bad", 5, "misread")}
+    text = repaired(df).where("name = 'bad'").first()["text"]
+    assert text == "the witness spoke against it and the index was of the patient and against it. Stop! Go on!"
