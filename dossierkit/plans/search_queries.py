@@ -78,13 +78,22 @@ def _by_score():  # noqa: ANN202
     return Window.orderBy(F.desc("score"), "doc_id")
 
 
-def hybrid_collapse_best_chunk(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's best chunk for the query, of ASCII texts as SQL can cut only these."""
-    cut = chunk_ascii(spark, d).withColumn("key", F.concat("doc_id", F.lit("#"), "chunk_idx"))
+def _best_chunk(cut: DataFrame) -> DataFrame:
+    cut = cut.withColumn("key", F.concat("doc_id", F.lit("#"), "chunk_idx"))
     hits = S.bm25(cut, "key", "chunk", QUERY).select(F.split("key", "#")[0].cast("long").alias("doc_id"), F.split("key", "#")[1].cast("int").alias("chunk_idx"), F.round("score", 6).alias("score"))
     return V.collapse(hits, "doc_id", [F.desc("score"), "chunk_idx"])
 
 
+def hybrid_collapse_utf8(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's best chunk for the query, of every text."""
+    return _best_chunk(chunk_counts(spark, d))
+
+
+def hybrid_collapse_best_chunk(spark: SparkSession, d: str) -> DataFrame:
+    """Of ASCII texts, as SQL can cut only these; ``hybrid_collapse_utf8`` takes every text."""
+    return _best_chunk(chunk_ascii(spark, d))
+
+
 def hybrid_hydrate_left(spark: SparkSession, d: str) -> DataFrame:
     """The nearest vectors with their documents; a vector without one is kept with defaults."""
     hits = vector_topk_l2(spark, d).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
@@ -140,7 +149,7 @@ _COS = "round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.e
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, bm25_scores, keyword_search_ranked, keyword_search_filtered, term_document_frequency, snippets, snippet_ascii, chunk_ascii, vector_topk_l2, vector_topk_cosine, rrf_fusion, hybrid_collapse_best_chunk, hybrid_hydrate_left)
+    for f in (bm25_topk, bm25_scores, keyword_search_ranked, keyword_search_filtered, term_document_frequency, snippets, snippet_ascii, chunk_ascii, vector_topk_l2, vector_topk_cosine, rrf_fusion, hybrid_collapse_best_chunk, hybrid_collapse_utf8, hybrid_hydrate_left)
 } | {"chunk_utf8": chunk_counts}
 
 SQL = {

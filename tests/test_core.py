@@ -1,5 +1,7 @@
 import base64
 import json
+import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from dossierkit.operators.mapping import explode_artifacts, map_records
 from dossierkit.operators.search import SearchParams, bm25, keyword_search, snippet, terms
 from dossierkit.operators.sqlguard import Refused, run_sql, validate
 from dossierkit.operators.vectors import hydrate, nearest
+from dossierkit.plans import search_queries
 from dossierkit.tools import TOOLS, Archive
 
 
@@ -236,3 +239,21 @@ def test_maintenance(spark, tmp_path):
     compact(store, "documents")
     assert store.version("documents") == 2 and [r["id"] for r in store.read("documents").collect()] == ["a", "b"]
     assert format_bytes(1536) == "1.5 KiB" and format_bytes(5) == "5 B" and format_count(2_500_000) == "2.5M"
+
+
+def test_best_chunk_of_every_text(spark, tmp_path):
+    texts = {1: "Die Mühle of Köln. " * 60 + "größe litigation team " * 90, 2: "été the rebate of the team", 3: "plain text of the nationwide rebate", 4: "ohne Treffer: Straße", 5: None, 6: " \n", 7: "漢é " * 700 + "of the litigation"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = {(k, i): re.findall(r"[^\W_]+", c.lower()) for k, t in texts.items() for i, c in enumerate(cut(t, 2048, 256))}
+    mean = sum(map(len, words.values())) / len(words)
+    want: dict[int, tuple] = {}
+    for (k, i), w in words.items():
+        score = 0.0
+        for q in search_queries.QUERY.split():
+            df, f = sum(q in x for x in words.values()), w.count(q)
+            score += math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        if score and (k not in want or (-round(score, 6), i) < want[k]):
+            want[k] = (-round(score, 6), i)
+    got = {r["doc_id"]: (-r["score"], r["chunk_idx"]) for r in search_queries.QUERIES["hybrid_collapse_utf8"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() == {1, 2, 3, 7} and got[7][1] > 0
+    assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-5 for k in want)
