@@ -286,11 +286,17 @@ def artifact_text_page(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT DISTINCT id, name, to_base64(encode(substr(text, 1, 300))) AS data_base64, least(300, strlen(text)) AS returned_bytes, strlen(text) AS total_bytes, 300 < strlen(text) AS truncated
 FROM artifact_text WHERE text IS NOT NULL AND strlen(text) = length(text)""")
 def artifact_bytes_base64(spark: SparkSession, d: str) -> DataFrame:
-    """Of texts of one-byte characters, as SQL cuts by characters."""
+    """Of texts of one-byte characters, as SQL cuts by characters; ``artifact_bytes_utf8`` takes every text."""
     plain = table(spark, d, "artifact_text").where("octet_length(text) = length(text)").select("id", "name", F.encode("text", "UTF-8").alias("data")).distinct()
     return A.read_bytes(plain, 0, 300)
 
 
+@query()
+def artifact_bytes_utf8(spark: SparkSession, d: str) -> DataFrame:
+    """Of every text; a page may cut a character."""
+    return A.read_bytes(_bytes(spark, d), 0, 300)
+
+
 @query("""SELECT DISTINCT a.id, a.name, CASE WHEN r.name IS NOT NULL THEN 'raw' WHEN f.name IS NOT NULL THEN 'artifact_store' END AS tier FROM artifacts a
 LEFT JOIN (SELECT DISTINCT id, name FROM artifact_text WHERE source = 'raw') r ON r.id = a.id AND r.name = a.name
 LEFT JOIN (SELECT DISTINCT id, name FROM artifact_text WHERE source = 'artifact_store') f ON f.id = a.id AND f.name = a.name""")

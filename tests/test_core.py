@@ -17,7 +17,7 @@ from dossierkit.operators.mapping import explode_artifacts, map_records
 from dossierkit.operators.search import SearchParams, bm25, keyword_search, snippet, terms
 from dossierkit.operators.sqlguard import Refused, run_sql, validate
 from dossierkit.operators.vectors import hydrate, nearest
-from dossierkit.plans import search_queries
+from dossierkit.plans import archive_queries, search_queries
 from dossierkit.tools import TOOLS, Archive
 
 
@@ -257,3 +257,12 @@ def test_best_chunk_of_every_text(spark, tmp_path):
     got = {r["doc_id"]: (-r["score"], r["chunk_idx"]) for r in search_queries.QUERIES["hybrid_collapse_utf8"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() == {1, 2, 3, 7} and got[7][1] > 0
     assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 1e-5 for k in want)
+
+
+def test_byte_pages_of_every_text(spark, tmp_path):
+    texts = {"a": "plain " * 60, "b": "é" * 100, "c": "x" + "漢" * 100, "d": "", "e": None, "f": "y" * 299 + "é"}
+    rows = [(k, f"{k}.ocr", t) for k, t in texts.items()]
+    spark.createDataFrame(rows + rows[:2], "id string, name string, text string").write.parquet(str(tmp_path / "artifact_text.parquet"))
+    got = sorted(tuple(r) for r in archive_queries.QUERIES["artifact_bytes_utf8"](spark, str(tmp_path)).collect())
+    raw = {k: t.encode() for k, t in texts.items() if t is not None}
+    assert got == [(k, f"{k}.ocr", base64.b64encode(b[:300]).decode(), min(300, len(b)), len(b), len(b) > 300) for k, b in sorted(raw.items())]
