@@ -4,8 +4,8 @@ Order MinHash: each sketch of a record samples the few occurrence-labelled
 k-mers of least hash and retains the order in which they stand in the text, so
 that two sketches agree with a probability that falls with the edit distance.
 Records that agree in a sketch are candidates; each candidate pair is verified
-by a banded alignment of its common k-mers and by the exact likeness of its
-k-mer sets.
+by the exact likeness of its k-mer sets. The share of its common k-mers that
+keep their order is given besides and decides nothing.
 
 Exact copies (equal words, or equal normalised titles) collapse into classes
 before anything is paired; classes are expanded again at the end.
