@@ -2,17 +2,23 @@
 
 Skip-gram vectors (each word's accumulated random-index vectors of its
 neighbours, centred) and counts are learnt over all texts. A rare word is linked
-to the frequent words that it becomes when plausible glyph confusions are taken
-back; of several, the one whose neighbours agree best is its correction, and a
-link whose neighbours disagree is dropped. Running heads and page numbers are
-found from the page structure of each text; then words broken over lines are
-joined and the lines flow into paragraphs.
+to every frequent word that differs from it by glyph confusions only, however
+many: both are spelled out in elementary glyphs, and equal spellings join. At
+each place of a linked word its neighbours decide: the form whose vector agrees
+best with them, weighed with its frequency, is the correction, unless the word's
+own vector, learnt from its other places, agrees better still. Running heads and
+page numbers are found from the page structure of each text; then words broken
+over lines are joined and the lines flow into paragraphs.
 
 Defined cases: null and blank texts have no defects and come out as they are;
 lines without a next line of text are not broken; a head must recur at least
-once; exact duplicate rows count once; further columns are ignored. Vocabularies
-are only ever shuffled; what reaches the workers whole is a Bloom filter of
-fixed size, and every word it lets through is checked by an exact join.
+once and is one printed line of at most ``HEAD`` letters; a line of a page's
+number has at most ``NUMBER`` letters; words of one or two letters, and those of
+three without a sign that no word has, are never linked; a text that looks like
+a mail has heads only if its pages are numbered or parted; exact duplicate rows
+count once; further columns are ignored. Vocabularies are only ever shuffled;
+what reaches the workers whole is a Bloom filter sized by the number of misread
+words up to a bound, and every word it lets through is checked by an exact join.
 """
 
 from __future__ import annotations
@@ -20,13 +26,14 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -35,36 +42,41 @@ from ..session import materialise
 DIMENSIONS, REACH = 16, 2
 #: A correction is so many times as frequent as the misread word, and occurs so often at least.
 TIMES, LEAST = 12, 6
-#: Agreement of the vectors under which a link is dropped, where both words have neighbours enough.
-LEAST_COSINE, NEIGHBOURS = -0.3, 24
-#: Bits of the Bloom filter of misread words (128 KB, whatever the vocabulary).
-BLOOM_BITS = 1 << 20
+#: What a tenfold frequency weighs against the agreement of vectors, which is at most 1.
+FREQUENCY = 0.125
+#: Bits of the Bloom filter for each misread word, and the most bits (32 MB, broadcast once an executor).
+BLOOM_BITS_A_WORD, MOST_BLOOM_BITS = 16, 1 << 28
+#: Letters of a running head, and of a line with nothing but a page's number, at most.
+HEAD, NUMBER = 160, 26
 
 # Glyphs as printed and what recognition makes of them.
 CONFUSIONS = {
     "e": ["c"], "c": ["e"], "t": ["†"], "a": ["á"], "n": ["ri"], "o": ["0"], "l": ["1", "|", "!"], "i": ["1", "|", "!"], "s": ["5"], "d": ["cl", "c1"], "u": ["ii"], "m": ["rn"], "g": ["9"],
     "f": ["ſ"], "h": ["b"], "b": ["6"], "w": ["vv"],
 }
-_BACK: dict[str, list[str]] = defaultdict(list)
-for _true, _seen in CONFUSIONS.items():
-    for _s in _seen:
-        _BACK[_s].append(_true)
+# Letters spelled out in elementary glyphs, so that words alike up to confusions are spelled alike.
+ELEMENTS = {"n": "ri", "m": "rri", "d": "ci", "u": "ii", "w": "vv"}
+SINGLE = ("e†á0l1|!59ſb6", "ctaoiiiisgfhh")
 
 # an exclamation mark is a letter's glyph only before another letter
 _TOKEN = re.compile(r"!?[\w†|]+(?:![\w†|]+)*")
 _BREAK = re.compile(r"(?:(?<=\w)|(?<=\w!))([-­‐‑¬])[ \t]*$")
 _SIGNS = frozenset("-­‐‑¬")
 _JOIN = re.compile(r"(?:(?<=\w)|(?<=\w!))[-­‐‑¬][ \t]*\r?\n\s*(?=!?\w)")
-_GLYPH = re.compile(r"^(?=.{4,})(?=(?:.*[a-zà-ÿ]){3})(?:[†ſ|!0-9]?[a-zà-ÿ†ſ]+)*[†ſ|!0-9]?$", re.IGNORECASE)
+# each sign is followed by a letter or ends the word: one way to match, so the time is in proportion to the length
+_GLYPH = re.compile(r"[a-zà-ÿ†ſ]*(?:[|!0-9][a-zà-ÿ†ſ]+)*[|!0-9]?")
+_PLAIN = re.compile(r"[a-zà-ÿ]")
 _SIGN = re.compile(r"[†ſ|!01569]")
+_NO_LETTER = re.compile(r"[†ſ|!0-9]")
+_MEASURE = re.compile(r"\d+(?:st|nd|rd|th|er|ème|mg|ml|kg|km)|[a-z]{1,3}\d+|\w*\d{2,}")
 
-_N = r"(?P<n>[\dlIO|]{1,4}|[ivxlc]{1,7})"
+_N = r"(?P<n>[\dlIO|]{1,6}|[ivxlc]{1,7})"
 _NUMBERS = [
     ("bracket", re.compile(rf"\[\s*{_N}\s*\]$", re.IGNORECASE)),
     ("dash", re.compile(rf"[-–—]\s*{_N}\s*[-–—]$", re.IGNORECASE)),
-    ("page", re.compile(rf"(?:page|seite|página|pag\.?|pg\.?|p\.|s\.)\s*{_N}(?:\s*(?:of|von|de|sur|/)\s*[\dlIO|]{{1,4}})?$", re.IGNORECASE)),
-    ("slash", re.compile(rf"{_N}\s*/\s*[\dlIO|]{{1,4}}$")),
-    ("bare", re.compile(r"(?P<n>[\dlIO|]{1,3})$")),
+    ("page", re.compile(rf"(?:page|seite|página|pag\.?|pg\.?|p\.|s\.)\s*{_N}(?:\s*(?:of|von|de|sur|/)\s*[\dlIO|]{{1,6}})?$", re.IGNORECASE)),
+    ("slash", re.compile(rf"{_N}\s*/\s*[\dlIO|]{{1,6}}$")),
+    ("bare", re.compile(r"(?P<n>[\dlIO|]{1,6})$")),
     ("roman", re.compile(r"(?P<n>[ivxlc]{1,7})$")),
 ]
 _MAYBE_NUMBER = re.compile(r"\d|^[^\w]{0,2}[ivxlcIVXLCO|]{1,7}\W{0,2}$|(?:^|\s)[lIO|]{1,4}\W*$|[lIO|]\s*/|^\w+\.?\s*[lIO|]")
@@ -133,20 +145,21 @@ def furniture(text: str) -> dict[int, str]:
     full = [i for i, x in enumerate(lines) if x]
     if not full:
         return {}
-    if "\f" not in text and not any(len(x) <= 22 and _MAYBE_NUMBER.search(x) for x in lines) and not any("  " in x and (x[0] in _EDGE or x[-1] in _EDGE) for x in lines):
-        begins, ends = [lines[i][:10] for i in full], [lines[i][-10:] for i in full]
-        if len(set(begins)) == len(begins) and len(set(ends)) == len(ends):
-            return {}  # nothing that can number a page, and no two lines that are alike
+    if "\f" not in text and not any(len(x) <= NUMBER and _MAYBE_NUMBER.search(x) for x in lines) and not any("  " in x and (x[0] in _EDGE or x[-1] in _EDGE) for x in lines):
+        # nothing can number a page: only lines that recur, or the first and the last, can be heads
+        seen = [" ".join(x.split()) if "  " in x or "\t" in x or not x.isascii() else x for x in text.lower().split("\n") if x]
+        if len(set(seen)) == len(seen) and not (max(len(seen[0]), len(seen[-1])) <= HEAD and _similar(seen[0], seen[-1])):
+            return {}
     rank = {i: k for k, i in enumerate(full)}
     feeds = {i for i, x in enumerate(raw) if "\f" in x}
     out: dict[int, str] = {}
     by_style: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for i in full:
-        if len(lines[i]) <= 22 and _MAYBE_NUMBER.search(lines[i]):
+        if len(lines[i]) <= NUMBER and _MAYBE_NUMBER.search(lines[i]):
             for style, form in _NUMBERS:
                 m = form.match(lines[i])
                 v = _value(m["n"]) if m else None
-                if v is not None and 0 < v < 2000:
+                if v is not None and 0 < v < 1_000_000:
                     by_style[style].append((i, v))
                     break
 
@@ -160,7 +173,7 @@ def furniture(text: str) -> dict[int, str]:
     numbered: set[int] = set()
     for i in full:
         x = lines[i]
-        if i in out or not 4 <= len(x) <= 110:
+        if i in out or not 4 <= len(x) <= HEAD:
             continue
         m = _HEAD_NUMBER.match(x) if "  " in x and (x[0] in _EDGE or x[-1] in _EDGE) else None
         if m:
@@ -168,8 +181,12 @@ def furniture(text: str) -> dict[int, str]:
             x = m["x"] or m["y"]
         if x[:4].isalpha() or sum(map(str.isalpha, x)) >= 4:
             heads[i] = x.lower()
-    if not by_style and not feeds and not numbered and len({h[:10] for h in heads.values()}) == len(heads) == len({h[-10:] for h in heads.values()}):
-        return {}
+    if not by_style and not feeds and not numbered:
+        # no page shows: only lines that recur, or the first and the last, can seed a head
+        seen = [" ".join(h.split()) for h in heads.values() if len(h) >= 4]
+        first, last = heads.get(full[0], ""), heads.get(full[-1], "")
+        if len(set(seen)) == len(seen) and not (len(first) >= 4 and len(last) >= 4 and _similar(" ".join(first.split()), " ".join(last.split()))):
+            return {}
     mailish = bool(_MAILISH.search(text))
     for style in ("bare", "roman"):
         found = by_style[style]
@@ -252,6 +269,13 @@ def broken_lines(text: str, skip: dict[int, str]) -> list[tuple[int, int]]:
     return out
 
 
+def index_vectors(seeds: np.ndarray) -> np.ndarray:
+    """The random index vector, of 1 and -1, of each seed; zeros for the seed 0."""
+    bits = ((seeds[..., None] >> np.arange(DIMENSIONS, dtype=np.uint32)) & np.uint32(1)).astype(np.int8) * np.int8(2) - np.int8(1)
+    bits[seeds == 0] = 0
+    return bits
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts and accumulated neighbour vectors of the words of each batch."""
     names = ["word", "n", *[f"v{i}" for i in range(DIMENSIONS)]]
@@ -266,8 +290,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.array(stream, np.int32)
         words = list(ids)
         seeds = np.array([0, *[xxhash.xxh32_intdigest(w) for w in words]], np.uint32)
-        bits = ((seeds[:, None] >> np.arange(DIMENSIONS, dtype=np.uint32)) & np.uint32(1)).astype(np.int8) * np.int8(2) - np.int8(1)
-        bits[0] = 0
+        bits = index_vectors(seeds)
         near = np.zeros((len(t), DIMENSIONS), np.int8)
         for d in range(1, REACH + 1):
             near[d:] += bits[t[:-d]]
@@ -279,141 +302,156 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n.astype(np.int64)), *[pa.array(sums[:, i].astype(np.float32)) for i in range(DIMENSIONS)]], names)
 
 
-def taken_back(word: str, most: int = 2) -> set[str]:
-    """What a word can have been before up to ``most`` glyph confusions; signs that no word has are all taken back first."""
-    forms = {""}
-    i, out = 0, {""}
-    for c in word:
-        options = _BACK[c] if c in "†ſ|!" or (c.isdigit() and c in _BACK) else [c]
-        forms = {f + o for f in forms for o in options[:2]}
-        if len(forms) > 16:
-            break
-    out = set(forms) - {word}
-    plain = set(forms)
-    for _ in range(most):
-        more = set()
-        for w in plain:
-            for i in range(len(w)):
-                for width in (1, 2):
-                    for true in _BACK.get(w[i : i + width], ()) if i + width <= len(w) else ():
-                        more.add(w[:i] + true + w[i + width :])
-        plain = more - out
-        out |= plain
-        if len(out) > 200:
-            break
+def glyphs(word: Column) -> Column:
+    """A word in elementary glyphs: equal for words that differ by glyph confusions only."""
+    out = F.translate(word, *SINGLE)
+    for letter, elements in ELEMENTS.items():
+        out = F.replace(out, F.lit(letter), F.lit(elements))
     return out
 
 
-def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, forms = [], []
-        for w in batch.column(0).to_pylist():
-            for f in taken_back(w):
-                words.append(w)
-                forms.append(f)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(forms, pa.string())], ["word", "form"])
+@dataclass(frozen=True)
+class Corrections:
+    words: DataFrame  # word, n, own array<float>, forms array<struct<form, m, vector array<float>>>: all it can have been
+    mean: tuple[float, ...]  # mean vector of all neighbours
 
 
-def corrections(texts: DataFrame) -> DataFrame:
-    """(word, form): each misread word of the corpus and what it should be."""
+def corrections(texts: DataFrame) -> Corrections:
+    """The linked words of the corpus with the frequent words that each can have been."""
     vectors = [f"v{i}" for i in range(DIMENSIONS)]
     counted = texts.select("text").mapInArrow(_vocabulary, "word string, n long, " + ", ".join(f"{v} float" for v in vectors))
     vocabulary = materialise(counted.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(v).cast("float").alias(v) for v in vectors]), "scan-words")
     total = vocabulary.agg(F.sum("n").alias("n"), F.max("n").alias("top"), *[F.sum(v).alias(v) for v in vectors]).first()
-    if not total["n"]:
-        return vocabulary.select("word", F.col("word").alias("form")).limit(0)
-    mean = [total[v] / total["n"] for v in vectors]
+    mean = tuple((total[v] or 0.0) / (total["n"] or 1) for v in vectors)
+    signs = F.col("word").rlike("[†ſ|!0-9]")
+    linkable = (signs & (F.length("word") >= 3) & F.col("word").rlike("[a-zà-ÿ†ſ].*[a-zà-ÿ†ſ]")) | (~signs & (F.length("word") >= 4))
     # rare: no word at all is so many times as frequent
-    rare = vocabulary.where((F.col("n") * TIMES <= total["top"]) & (F.length("word") >= 4))
-    linked = rare.select("word").mapInArrow(_suspects, "word string, form string")
-    often = vocabulary.where(F.col("n") >= LEAST).select(F.col("word").alias("form"), F.col("n").alias("m"), *[F.col(v).alias(f"u{v}") for v in vectors])
-    pairs = linked.join(often, "form").join(vocabulary, "word").where(F.col("m") >= F.col("n") * TIMES)
-    a = [F.col(v) - F.col("n") * F.lit(m) for v, m in zip(vectors, mean, strict=True)]
-    b = [F.col(f"u{v}") - F.col("m") * F.lit(m) for v, m in zip(vectors, mean, strict=True)]
-
-    def dot(x: list, y: list) -> F.Column:
-        return sum((p * q for p, q in zip(x[1:], y[1:], strict=True)), x[0] * y[0])
+    rare = vocabulary.where((F.col("n") * TIMES <= (total["top"] or 0)) & linkable)
+    rare = rare.select("word", "n", F.array(*vectors).alias("own"), glyphs(F.col("word")).alias("g"))
+    often = vocabulary.where((F.col("n") >= LEAST) & F.col("word").rlike(r"^[\p{L}&&[^ſ]]{2,}$"))
+    often = often.select(F.col("word").alias("form"), F.col("n").alias("m"), F.array(*vectors).alias("vector"), glyphs(F.col("word")).alias("g"))
+    pairs = rare.join(often, "g").where((F.col("word") != F.col("form")) & (F.col("m") >= F.col("n") * TIMES))
+    linked = pairs.groupBy("word").agg(F.first("n").alias("n"), F.first("own").alias("own"), F.array_sort(F.collect_list(F.struct("form", "m", "vector"))).alias("forms"))
+    return Corrections(linked, mean)
+
+
+def _cosine(x: np.ndarray, y: np.ndarray) -> float:
+    return float(x @ y) / (float(np.sqrt((x @ x) * (y @ y))) + 1e-9)
+
+
+def form_here(word: str, n: int, own: np.ndarray, forms: list[tuple[str, int, np.ndarray]], near: np.ndarray, mean: np.ndarray) -> str | None:
+    """What a linked word should be among the neighbours ``near`` (their index vectors, added up), None if it is right itself."""
+    best, choice = -9.0, None
+    at = near - mean
+    for form, m, vector in forms:
+        score = _cosine(at, vector - m * mean) + FREQUENCY * np.log(m)
+        if score > best:
+            best, choice = score, form
+    # a word of several places may be one of its own; a sign that no word has never is
+    if n >= LEAST and not _NO_LETTER.search(word) and _cosine(at, own - near - (n - 1) * mean) + FREQUENCY * np.log(n) > best:
+        return None
+    return choice
+
+
+def _decide(mean: tuple[float, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.array(mean)
+        for batch in batches:
+            rows = batch.to_pydict()
+            out = []
+            for word, n, own, forms, near in zip(rows["word"], rows["n"], rows["own"], rows["forms"], rows["near"], strict=True):
+                choices = [(f["form"], f["m"], np.array(f["vector"])) for f in forms]
+                out.append(form_here(word, n, np.array(own), choices, np.frombuffer(near, np.int8).astype(float), centre))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PLACE), pa.array(out, pa.string())], [*_PLACE, "form"])
 
-    cosine = dot(a, b) / (F.sqrt(dot(a, a) * dot(b, b)) + F.lit(1e-9))
-    scored = pairs.select("word", "form", "n", "m", cosine.alias("cosine")).where((F.col("cosine") >= LEAST_COSINE) | (F.col("n") * REACH * 2 < NEIGHBOURS))
-    best = F.row_number().over(Window.partitionBy("word").orderBy(F.desc(F.col("cosine") + F.log("m") / 8), "form"))
-    return scored.withColumn("k", best).where("k = 1").select("word", "form")
+    return run
 
 
-def _bloom_positions(word: F.Column) -> list:
+def _bloom_positions(word: Column, bits: int) -> list:
     h = F.xxhash64(word)
-    return [F.pmod(h, F.lit(BLOOM_BITS)).cast("int"), F.pmod(F.shiftright(h, 24), F.lit(BLOOM_BITS)).cast("int")]
-
-
-def misread_filter(fixes: DataFrame) -> bytes:
-    """Bloom filter of the misread words, BLOOM_BITS bits; the driver sees only its bytes, never the words."""
-    at = fixes.select(F.explode(F.array(*_bloom_positions(F.col("word")))).alias("at"))
-    cells = at.groupBy(F.shiftright("at", 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63))).alias("bits")).collect()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    for c in cells:
-        out[c["cell"]] = c["bits"]
+    return [F.pmod(h, F.lit(bits)).cast("int"), F.pmod(F.shiftright(h, 24), F.lit(bits)).cast("int")]
+
+
+def misread_filter(words: DataFrame) -> bytes:
+    """Bloom filter of the linked words; the driver sees only its cells, never the words."""
+    want = BLOOM_BITS_A_WORD * max(words.count(), 64)
+    bits = min(MOST_BLOOM_BITS, 1 << (want - 1).bit_length())
+    at = words.select(F.explode(F.array(*_bloom_positions(F.col("word"), bits))).alias("at"))
+    set_ = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63)))
+    cells = at.groupBy(F.shiftright("at", 6).alias("cell")).agg(set_.alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
     return out.tobytes()
 
 
 def _in_filter(cells: np.ndarray, word: str) -> bool:
     h = xxhash.xxh64_intdigest(word.encode(), seed=42)
     h = h - (1 << 64) if h >> 63 else h
-    return all(int(cells[p >> 6]) >> (p & 63) & 1 for p in (h % BLOOM_BITS, (h >> 24) % BLOOM_BITS))
+    bits = 64 * len(cells)
+    return all(int(cells[p >> 6]) >> (p & 63) & 1 for p in (h % bits, (h >> 24) % bits))
 
 
-def line_words(text: str, skip: dict[int, str], breaks: list[tuple[int, int]], code) -> Iterator[tuple[int, str, int]]:  # noqa: ANN001
-    """(line, word, letters of it on this line) of the words in the text lines that ``code`` gives a number.
+def line_words(text: str, skip: dict[int, str], breaks: list[tuple[int, int]], code) -> Iterator[tuple[int, str, int, list[str]]]:  # noqa: ANN001
+    """(line, word, letters of it on this line, neighbours) of the words in the text lines that ``code`` gives a number.
 
     A broken word comes once, whole, with its first line. Each distinct word of
     the text is looked at once, and lines are gone through only if one is found.
     """
     lines = [x.replace("\f", " ").rstrip("\r").lower() for x in text.split("\n")]
-    halves: set[tuple[int, int]] = set()  # (line, place of the word) of the parts of broken words
+    whole: dict[int, tuple[str, int]] = {}  # line -> the broken word that begins at its end, and its letters there
     for i, j in breaks:
         cut = _BREAK.sub("", lines[i])
-        first = _TOKEN.findall(cut)
-        rest = _TOKEN.search(lines[j])
+        first, rest = _TOKEN.findall(cut), _TOKEN.search(lines[j])
         if first and rest:
-            halves.add((i, len(first) - 1))
-            halves.add((j, 0))
             left = first[-1] + "!" * cut.endswith("!")
-            word = left + rest[0]
-            if code(word):
-                yield i, word, len(left)
-    wanted = {w for w in set(_TOKEN.findall(text.lower())) if code(w)}
+            whole[i] = left + rest[0], len(left)
+    wanted = {w for w in {*_TOKEN.findall(text.lower()), *(w for w, _ in whole.values())} if code(w)}
     if not wanted:
         return
+    goes_on = {j for i, j in breaks if i in whole}
+    stream: list[str] = []
+    places: list[tuple[int, int]] = []
     for i, line in enumerate(lines):
         if i in skip:
             continue
         found = _TOKEN.findall(line)
-        if not wanted.isdisjoint(found):
-            for k, w in enumerate(found):
-                if w in wanted and (i, k) not in halves:
-                    yield i, w, len(w)
+        found = found[i in goes_on : len(found) - (i in whole)]
+        stream += found
+        places += [(i, len(w)) for w in found]
+        if i in whole:
+            stream.append(whole[i][0])
+            places.append((i, whole[i][1]))
+    for k, w in enumerate(stream):
+        if w in wanted:
+            yield places[k][0], w, places[k][1], [*stream[max(0, k - REACH) : k], *stream[k + 1 : k + 1 + REACH]]
 
 
 def _looks_misread(word: str) -> bool:
     """Signs inside a word that no word has."""
-    if not _SIGN.search(word) or not _GLYPH.match(word):
+    if len(word) < 4 or not _SIGN.search(word) or not _GLYPH.fullmatch(word) or len(_PLAIN.findall(word)) < 3:
         return False
-    return len(re.findall(r"[†ſ|!0-9]", word)) <= 3 and not re.fullmatch(r"\d+(?:st|nd|rd|th|er|ème|mg|ml|kg|km)|[a-z]{1,3}\d+|\w*\d{2,}", word)
+    return len(_NO_LETTER.findall(word)) <= 3 and not _MEASURE.fullmatch(word)
+
+
+_PLACE = ["name", "line_no", "next_no", "word", "here", "defect"]
 
 
-def _page_rows(filter_bytes: bytes):
+def _page_rows(filter_cells):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.frombuffer(filter_bytes, np.int64)
+        cells = np.frombuffer(filter_cells.value, np.int64)
         seen: dict[str, int] = {}
+
         def code(word: str) -> int:
             k = seen.get(word)
             if k is None:
                 if len(seen) > 500_000:
                     seen.clear()
-                k = seen[word] = 2 if _looks_misread(word) else 1 if len(word) >= 4 and _in_filter(cells, word) else 0
+                k = seen[word] = 2 if _looks_misread(word) else 1 if len(word) >= 3 and _in_filter(cells, word) else 0
             return k
 
+        nobody = [0] * (2 * REACH)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(7)]
 
             def row(*values) -> None:  # noqa: ANN002
                 for column, value in zip(rows, values, strict=True):  # noqa: B023
@@ -423,19 +461,22 @@ def _page_rows(filter_bytes: bytes):
                 skip = furniture(text)
                 breaks = broken_lines(text, skip)
                 for i, kind in skip.items():
-                    row(name, i + 1, None, kind, None, None)
+                    row(name, i + 1, None, None, None, kind, nobody)
                 after = dict(breaks)
                 for i, _ in breaks:
-                    row(name, i + 1, None, "split_word", None, None)
-                for i, word, here in line_words(text, skip, breaks, code):
-                    row(name, i + 1, after[i] + 1 if here < len(word) else None, "misread" if code(word) == 2 else "maybe", word, here)
-            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["name", "line_no", "next_no", "defect", "word", "here"])
+                    row(name, i + 1, None, None, None, "split_word", nobody)
+                for i, word, here, near in line_words(text, skip, breaks, code):
+                    seeds = [*map(xxhash.xxh32_intdigest, near), *nobody[len(near) :]]
+                    row(name, i + 1, after[i] + 1 if here < len(word) else None, word, here, "misread" if code(word) == 2 else "maybe", seeds)
+            near = index_vectors(np.array(rows.pop(), np.uint32).reshape(-1, 2 * REACH)).sum(axis=1, dtype=np.int8)
+            types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+            packed = pa.Array.from_buffers(pa.binary(DIMENSIONS), len(near), [None, pa.py_buffer(np.ascontiguousarray(near))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, types, strict=True)), packed], [*_PLACE, "near"])
 
     return run
 
 
-def _first_difference(word: F.Column, form: F.Column) -> F.Column:
+def _first_difference(word: Column, form: Column) -> Column:
     """Position, from 0, of the first letter in which a misread word and its correction differ."""
     n = F.least(F.length(word), F.length(form))
     at = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)) != F.substring(form, i, F.lit(1)))
@@ -443,17 +484,28 @@ def _first_difference(word: F.Column, form: F.Column) -> F.Column:
 
 
 def _scanned(artifact_text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(defect rows with words and corrections, corrections)."""
+    """(defect rows with words, corrections and the line on which each word begins, texts)."""
     texts = artifact_text.where(F.col("text").rlike(r"\S")).select("name", "text")
-    fixes = materialise(corrections(texts), "scan-fixes")
-    rows = materialise(texts.mapInArrow(_page_rows(misread_filter(fixes)), "name string, line_no long, next_no long, defect string, word string, here int"), "scan-rows")
-    plain = rows.where("word IS NULL").select("name", "line_no", "defect", F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("form"))
-    tried = rows.where("word IS NOT NULL").join(fixes, "word", "left").where(F.col("form").isNotNull() | (F.col("defect") == "misread"))
+    found = corrections(texts)
+    words = materialise(found.words, "scan-fixes")
+    cells = texts.sparkSession.sparkContext.broadcast(misread_filter(words))
+    kind = "name string, line_no long, next_no long, word string, here int, defect string, near binary"
+    rows = materialise(texts.mapInArrow(_page_rows(cells), kind), "scan-rows")
+    none = F.lit(None).cast("string")
+    plain = rows.where("word IS NULL").select("name", "line_no", "defect", none.alias("word"), none.alias("form"), F.col("line_no").alias("starts"))
+    tried = rows.where("word IS NOT NULL").join(words, "word", "left")
+    # where there is nothing to choose, the neighbours decide nothing
+    open_ = (F.size("forms") > 1) | ((F.col("n") >= LEAST) & ~F.col("word").rlike("[†ſ|!0-9]"))
+    single = tried.where(F.col("forms").isNull() | ~open_).select(*_PLACE, F.col("forms")[0]["form"].alias("form"))
+    kind = "name string, line_no long, next_no long, word string, here int, defect string, form string"
+    chosen = tried.where(open_).select(*_PLACE, "near", "n", "own", "forms").mapInArrow(_decide(found.mean), kind)
+    tried = single.unionByName(chosen).where(F.col("form").isNotNull() | (F.col("defect") == "misread"))
     # of a broken word, the line on which the wrong letter stands has the defect
     sign = F.regexp_instr("word", F.lit("[†ſ|!0-9]")) - 1
     at = F.when(F.col("form").isNotNull(), _first_difference(F.col("word"), F.col("form"))).otherwise(sign)
-    placed = tried.withColumn("line_no", F.when(F.col("next_no").isNotNull() & (at >= F.col("here")), F.col("next_no")).otherwise(F.col("line_no")))
-    return plain.unionByName(placed.select("name", "line_no", F.lit("misread").alias("defect"), "word", "form")), texts
+    line = F.when(F.col("next_no").isNotNull() & (at >= F.col("here")), F.col("next_no")).otherwise(F.col("line_no"))
+    placed = tried.select("name", line.alias("line_no"), F.lit("misread").alias("defect"), "word", "form", F.col("line_no").alias("starts"))
+    return plain.unionByName(placed), texts
 
 
 def defects(artifact_text: DataFrame) -> DataFrame:
@@ -465,15 +517,19 @@ def _as_written(word: str, form: str) -> str:
     return form.upper() if word.isupper() and len(word) > 1 else form[:1].upper() + form[1:] if word[:1].isupper() else form
 
 
-def repair(text: str, fixes: dict[str, str]) -> str:
-    """Continuous paragraphs: furniture dropped, broken words joined, misread words corrected, lines flowing."""
+def repair(text: str, fixes: dict[tuple[int, str], str]) -> str:
+    """Continuous paragraphs: furniture dropped, broken words joined, misread words corrected, lines flowing.
+
+    ``fixes`` holds the correction of each misread word by the line, from 0, on which it begins.
+    """
     skip = furniture(text)
     breaks = dict(broken_lines(text, skip))
     low = text.lower()
     lines = [x.replace("\f", " ").rstrip("\r") for x in text.split("\n")]
+    lines_fixed = {i for i, _ in fixes}
     paragraphs: list[list[str]] = []
     now: list[str] = []  # the paragraph's words and joined pieces
-    joined, gap = False, False
+    joined, gap, taken = False, False, False
     for i, line in enumerate(lines):
         if i in skip:
             continue
@@ -487,28 +543,40 @@ def repair(text: str, fixes: dict[str, str]) -> str:
             paragraphs.append(now)
             now = []
         gap, glued, joined = False, joined, i in breaks
+        rest = _TOKEN.search(body) if glued else None
+        if taken and rest:
+            body = body[rest.end() :]  # the corrected word stands whole on the line before
+        start = 0 if taken or not rest else rest.end()
+        taken = False
         if joined:
             sign = _BREAK.search(body)
             cut = _BREAK.sub("", body)
-            left, right = _TOKEN.findall(cut.lower())[-1:], _TOKEN.findall(lines[breaks[i]].lower())[:1]
+            left, right = list(_TOKEN.finditer(cut)), _TOKEN.findall(lines[breaks[i]].lower())[:1]
             # a compound keeps its hyphen if it has another, or stands unbroken elsewhere in the text
-            compound = sign and sign[1] == "-" and (cut.rsplit(None, 1)[-1].count("-") > 0 or bool(left and right) and f"{left[0]}-{right[0]}" in low)
-            body = body if compound else cut
+            compound = sign and sign[1] == "-" and (cut.rsplit(None, 1)[-1].count("-") > 0 or bool(left and right) and f"{left[-1][0].lower()}-{right[0]}" in low)
+            form = fixes.get((i, cut[left[-1].start() :].lower() + right[0])) if left and right and not compound and left[-1].start() >= start else None
+            if form:
+                taken = True
+                whole = cut[left[-1].start() :] + right[0]
+                body = cut[: left[-1].start()] + _as_written(whole, form)
+            else:
+                body = body if compound else cut
+        if i in lines_fixed:
+            body = body[:start] + _TOKEN.sub(lambda m: _as_written(m[0], fixes.get((i, m[0].lower()), m[0])) if (i, m[0].lower()) in fixes else m[0], body[start:])  # noqa: B023
         now.append(body if glued or not now else " " + body)
     if now:
         paragraphs.append(now)
-    out = "\n\n".join(re.sub(r"\s+", " ", "".join(p)) for p in paragraphs)
-    return _TOKEN.sub(lambda m: _as_written(m[0], fixes[m[0].lower()]) if m[0].lower() in fixes else m[0], out)
+    return "\n\n".join(re.sub(r"\s+", " ", "".join(p)) for p in paragraphs)
 
 
 def repaired(artifact_text: DataFrame) -> DataFrame:
     """(name, text) of every text, repaired."""
     rows, texts = _scanned(artifact_text)
-    fixes = rows.where("form IS NOT NULL").groupBy("name").agg(F.collect_set(F.struct("word", "form")).alias("fixes"))
+    fixes = rows.where("form IS NOT NULL").groupBy("name").agg(F.collect_set(F.struct("starts", "word", "form")).alias("fixes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [repair(t, {f["word"]: f["form"] for f in x or []}) for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            out = [repair(t, {(f["starts"] - 1, f["word"]): f["form"] for f in x or []}) for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["name", "text"])
 
     done = texts.join(fixes, "name", "left").select("name", "text", "fixes").mapInArrow(run, "name string, text string")
