@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,25 +19,21 @@ def cut(text: str | None, size: int, overlap: int) -> list[str]:
     body = (text or "").strip()
     if not body:
         return []
+    if len(body) * 4 <= size:
+        return [body]
     raw = body.encode()
-    n = len(raw)
-    if n <= size:
+    if len(raw) <= size:
         return [body]
-    step = max(size - overlap, 1)
-
-    def forward(i: int) -> int:
-        while i < n and raw[i] & 0xC0 == 0x80:
-            i += 1
-        return i
-
-    out, start = [], 0
-    while True:
-        start = forward(start)
-        end = forward(min(start + size, n))
-        out.append(raw[start:end].decode())
-        if end >= n:
-            return out
-        start += step
+    # positions at which a character begins, and the end; the next one at or after a position is one search away
+    bounds = np.append(np.flatnonzero(np.frombuffer(raw, np.int8) >= -64), len(raw))
+    at = bounds.searchsorted
+    out, begin, end = [], 0, 0
+    while end < len(raw):
+        begin = int(bounds[at(begin)])
+        end = int(bounds[at(min(begin + size, len(raw)))])
+        out.append(raw[begin:end].decode())
+        begin += size - overlap
+    return out
 
 
 def chunks(texts: DataFrame, key: str, text: str, size: int = 2048, overlap: int = 256) -> DataFrame:

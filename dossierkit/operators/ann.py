@@ -4,7 +4,8 @@ The centres are fitted on a bounded sample (``SAMPLE`` rows of least key hash,
 all rows where there are fewer); every row is indexed. A search looks through the lists
 nearest to each query, by default so many that on the sample the share
 ``TARGET`` of the exact nearest is found. Under ``LEAST_ROWS`` rows there is one
-list, which makes the search exact.
+list, which makes the search exact. A saved index keeps a folder for each list,
+and a search reads the folders of the lists it looks through only.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows the centres are fitted on, rows from which there is more than one list, and the most lists (4,096 x 64 floats are 1 MB).
@@ -80,6 +81,21 @@ def build(vectors: DataFrame, key: str, vector: str, lists: int | None = None) -
     return Index(rows.mapInArrow(assign, f"`{key}` long, `{vector}` array<float>, list int"), centres, key, vector, probes)
 
 
+def save(index: Index, path: str) -> None:
+    """Store the index: its rows in a folder a list, and its centres."""
+    index.rows.repartitionByRange("list", index.key).write.partitionBy("list").parquet(f"{path}/lists")
+    spark = index.rows.sparkSession
+    head = [(i, c.tolist(), index.key, index.vector, index.probes) for i, c in enumerate(index.centres)]
+    spark.createDataFrame(head, "list int, centre array<float>, key string, vector string, probes int").coalesce(1).write.parquet(f"{path}/centres")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    head = spark.read.parquet(f"{path}/centres").orderBy("list").collect()  # MOST_LISTS rows at most
+    key, vector = head[0]["key"], head[0]["vector"]
+    rows = spark.read.parquet(f"{path}/lists").select(key, vector, "list")
+    return Index(rows, np.array([h["centre"] for h in head], np.float32), key, vector, head[0]["probes"])
+
+
 def search(index: Index, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """(query_id, key, distance, rank): about the ``k`` nearest rows of each query (columns key and vector), L2."""
     centres, key, vector, probes = index.centres, index.key, index.vector, probes or index.probes
@@ -93,7 +109,9 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(order.ravel().astype(np.int32))], ["query_id", "asked", "list"])
 
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), F.col(vector).cast("array<float>")).mapInArrow(probe, "query_id long, asked array<float>, list int")
-    pairs = asked.join(index.rows, "list").select("query_id", "asked", key, vector)
+    # the lists to look through, MOST_LISTS at most: the others' folders are not read
+    wanted = [r[0] for r in asked.select("list").distinct().collect()]
+    pairs = asked.join(index.rows.where(F.col("list").isin(wanted)), "list").select("query_id", "asked", key, vector)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

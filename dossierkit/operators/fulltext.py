@@ -23,8 +23,9 @@ class IndexStats:
 def build_fulltext(store: Store, texts: DataFrame, embedder: Embedder, size: int = 2048, overlap: int = 256, force: bool = False, resume: bool = False) -> IndexStats:
     """Chunks of every text artifact in ``texts`` (id, name, text), embedded.
 
-    ``resume`` keeps the documents that have chunks and adds the others; a
-    version holds all chunks of a document or none, as it is written whole.
+    ``resume`` keeps the documents that have chunks and adds the others; chunks
+    and the table that describes them come into force together, so a document
+    has all its chunks or none.
     Artifacts without a text are counted, not fatal.
     """
     if force and resume:
@@ -41,12 +42,17 @@ def build_fulltext(store: Store, texts: DataFrame, embedder: Embedder, size: int
     parts = F.from_json("key", "id string, name string")
     cut = chunks(keyed, "key", "text", size, overlap).select(parts["id"].alias("doc_id"), "chunk_idx", parts["name"].alias("artifact_name"), F.col("chunk").alias("text"))
     fresh = embed_column(cut, "text", embedder)
-    store.write("chunks", fresh if old is None else old.unionByName(fresh))
-    done = store.read("chunks")
+    t = store.begin()
+    if old is None:
+        t.put("chunks", fresh)
+    else:
+        t.merge("chunks", fresh)
+    done = t.read("chunks")
     n = done.agg(F.count("*"), F.count_distinct("doc_id")).first()
     dim = done.select(F.size("vector")).first()
     meta = [(embedder.model, dim[0] if dim else 0, size, overlap, n[1], n[0])]
-    store.write("_meta", done.sparkSession.createDataFrame(meta, "embed_model string, dim int, chunk_bytes int, chunk_overlap int, documents long, chunks long").withColumn("built_at", F.unix_timestamp()))
+    t.put("_meta", done.sparkSession.createDataFrame(meta, "embed_model string, dim int, chunk_bytes int, chunk_overlap int, documents long, chunks long").withColumn("built_at", F.unix_timestamp()))
+    t.commit()
     return IndexStats(n[1], n[0], missing)
 
 
@@ -60,6 +66,9 @@ def build_raw(store: Store, fetched: DataFrame, with_text: bool = True) -> dict[
     todo = candidates if old is None else to_store(candidates, old)
     found = todo.join(fetched.select("id", "name", "data").dropDuplicates(["id", "name"]), ["id", "name"]).select("id", "name", "media_type", "size", "md5", "data")
     total, open_ = candidates.count(), todo.count()
-    store.write("raw_artifacts", found if old is None else old.unionByName(found))
-    stored = store.read("raw_artifacts").count() - (0 if old is None else total - open_)
+    t = store.begin()
+    before = 0 if old is None else old.count()
+    t.merge("raw_artifacts", found)
+    t.commit()
+    stored = store.read("raw_artifacts").count() - before
     return {"stored": stored, "skipped": total - open_, "missing": open_ - stored}

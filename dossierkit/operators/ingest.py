@@ -1,18 +1,19 @@
 """Building the archive and keeping it current by digests.
 
-Parquet has no MERGE: a table is a folder of versions with a pointer file; a
-change writes the next version whole and then moves the pointer, so a job that
-dies leaves the old version in force, and readers never see half of a change.
+A run changes documents, artifacts, derived rows and the watermark in one
+transaction of the store: whatever step it dies in, the archive is as it was.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookup import artifact_keys
+from .store import Store
+from .textindex import rows as index_rows
 
 
 def classify(incoming: DataFrame, stored: DataFrame, artifacts: DataFrame | None = None) -> DataFrame:
@@ -90,56 +91,6 @@ def store_sizes(artifacts: DataFrame, chunked: DataFrame, stored_raw: DataFrame
     return rows.agg(*both, *sums("raw_real", real))
 
 
-class Store:
-    """Versioned Parquet tables under one root that all executors reach."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/CURRENT"
-
-    def version(self, table: str) -> int | None:
-        p = self._path(self._pointer(table))
-        if not self._fs.exists(p):
-            return None
-        stream = self._fs.open(p)
-        try:
-            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def exists(self, table: str) -> bool:
-        return self.version(table) is not None
-
-    def read(self, table: str) -> DataFrame:
-        v = self.version(table)
-        if v is None:
-            raise FileNotFoundError(f"no table {table} under {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{table}/v={v}")
-
-    def write(self, table: str, df: DataFrame, keep: int = 2) -> int:
-        """Write the next version and put it in force; ``keep`` versions stay."""
-        v = (self.version(table) or 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={v}")
-        fresh = self._path(self._pointer(table) + ".next")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
-        current = self._path(self._pointer(table))
-        self._fs.delete(current, False)
-        self._fs.rename(fresh, current)
-        if v > keep:
-            self._fs.delete(self._path(f"{self.root}/{table}/v={v - keep}"), True)
-        return v
-
-    def drop(self, table: str) -> None:
-        self._fs.delete(self._path(f"{self.root}/{table}"), True)
-
-
 @dataclass(frozen=True)
 class ApplyStats:
     scanned: int
@@ -152,29 +103,33 @@ class ApplyStats:
 
 
 DERIVED = ("chunks", "raw_artifacts")
+#: Tables of the full-text index over ``search_text``.
+INDEXED = ("documents_postings", "documents_lengths")
 
 
 def build(store: Store, documents: DataFrame, artifacts: DataFrame, force: bool = False, drop_redacted: bool = False) -> None:
-    """Full build. Refuses to overwrite unless ``force``; the source is read before anything is dropped; the watermark comes last."""
+    """Full build, in one transaction. Refuses to overwrite unless ``force``; stale derived tables go with it."""
     if store.exists("documents") and not force:
         raise FileExistsError("the archive exists; pass force to build it again")
-    documents.limit(1).count()  # a source that can't be read fails here, while the old tables still stand
     rows = documents.where(F.col("id").isNotNull())
     if drop_redacted and "redacted" in documents.columns:
         rows = rows.where(~F.coalesce("redacted", F.lit(False)))
         artifacts = artifacts.join(rows.select("id").distinct(), "id", "left_semi")
-    store.write("documents", rows.drop("redacted"))
-    store.write("artifacts", artifacts)
-    for name in (*DERIVED, "_meta"):
-        store.drop(name)
-    store.write("_ingest_state", watermark(rows))
+    t = store.begin()
+    t.put("documents", rows.drop("redacted"))
+    t.put("artifacts", artifacts)
+    for name in (*DERIVED, *INDEXED, "_meta"):
+        t.drop(name)
+    t.put("_ingest_state", watermark(rows))
+    t.commit()
 
 
 def apply(store: Store, documents: DataFrame, artifacts: DataFrame, since: str | None = None, everything: bool = False) -> ApplyStats:
     """Incremental run over records modified at or after ``since`` (else the stored watermark), or over all that are given.
 
-    Order, for the sake of crashes: documents and artifacts, then derived rows,
-    then the watermark, which never falls. Running it again changes nothing.
+    Only the rows that change are written. Documents, artifacts, their full-text
+    index, derived rows and the watermark, which never falls, come into force together. Running it again
+    changes nothing.
     """
     known = store.read("_ingest_state").first() if store.exists("_ingest_state") else None
     mark = known["watermark"] if known else None
@@ -186,21 +141,29 @@ def apply(store: Store, documents: DataFrame, artifacts: DataFrame, since: str |
     classes = classify(rows, old_docs, parts).persist()
     try:
         counts = {r["class"]: r["count"] for r in classes.groupBy("class").count().collect()}
-        scanned = rows.count()
-        seen = watermark(rows).first()["watermark"]
+        totals = rows.agg(F.count("*"), F.max("ddmudate")).first()
+        scanned, seen = totals[0], totals[1]
         stale = invalidated(classes, parts, old_parts).persist()
         n_stale = stale.count()
         written = classes.where(F.col("class").isin("new", "changed"))
         gone = classes.where(F.col("class") == "redacted")
         delta = rows.drop("redacted").join(written.select("id"), "id", "left_semi")
         touched = written.select("id").unionByName(gone.select("id"))
-        store.write("documents", delete(upsert(old_docs, delta.select(*old_docs.columns)), gone.select("id")))
-        store.write("artifacts", old_parts.join(touched, "id", "left_anti").unionByName(parts.join(written.select("id"), "id", "left_semi").select(*old_parts.columns)))
+        t = store.begin()
+        if counts.keys() & {"new", "changed", "redacted"}:
+            t.merge("documents", delta.select(*old_docs.columns), touched)
+            t.merge("artifacts", parts.join(written.select("id"), "id", "left_semi").select(*old_parts.columns), touched)
+            if store.exists(INDEXED[0]):
+                fresh = index_rows(delta, "id", "search_text")
+                for name, part in zip(INDEXED, (fresh.postings, fresh.documents), strict=True):
+                    t.merge(name, part, touched, "key")
         for name, key in zip(DERIVED, ("doc_id", "id"), strict=True):
-            if store.exists(name):
-                store.write(name, delete(store.read(name), stale, key))
+            if n_stale and store.exists(name):
+                t.merge(name, None, stale, key)
         best = max(x for x in (mark, seen) if x is not None) if mark or seen else None
-        store.write("_ingest_state", documents.sparkSession.createDataFrame([(best,)], "watermark string"))
+        if best != mark or known is None:
+            t.put("_ingest_state", documents.sparkSession.createDataFrame([(best,)], "watermark string"))
+        t.commit()
         stale.unpersist()
     finally:
         classes.unpersist()

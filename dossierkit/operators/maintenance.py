@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ingest import Store
+from . import textindex
+from .store import Store
 
 #: Columns by which the files of a table are laid out, so that their minima and maxima prune.
 SORTED_BY = {"documents": ["id", "bn", "conversation"], "artifacts": ["id", "name", "media_type"], "raw_artifacts": ["id", "name"], "chunks": ["doc_id", "artifact_name", "chunk_idx"]}
@@ -37,6 +38,12 @@ def compact(store: Store, table: str, rows_per_file: int = 1_000_000) -> int:
     return store.write(table, df.repartitionByRange(files, *keys).sortWithinPartitions(*keys))
 
 
+def index_documents(store: Store) -> None:
+    """Build the full-text index over ``search_text``; ``apply`` keeps it current."""
+    docs = store.read("documents").select("id", "search_text").dropDuplicates(["id"])
+    textindex.store(store, "documents", textindex.rows(docs, "id", "search_text"))
+
+
 def format_bytes(n: float) -> str:
     """Bytes in binary units with one decimal."""
     for unit in ("B", "KiB", "MiB", "GiB", "TiB"):

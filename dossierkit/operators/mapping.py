@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Column of ``documents`` -> field of the source record.
+# Field names of the source's records.
 SCALAR_FIELDS = {
     "id": "id", "bn": "bn", "industry": "industry", "collection": "collection", "genre": "genre", "date_sent": "datesent", "date_received": "datereceived", "topic": "topic", "description": "desc",
     "keywords": "kw", "conversation": "conversation",

@@ -62,13 +62,16 @@ def find_orphans(refs: DataFrame, parents: Parents, n_blocks: int | None = None)
     """Rows of ``refs`` (key, seen_at and any other columns) that have no target.
 
     ``refs.key`` must be non-null. The broadcast filter holds at most
-    ``bloom.MAX_BLOCKS`` blocks; beyond that many keys it lets more references
-    through to the exact join, never fewer.
+    ``bloom.MAX_BLOCKS`` blocks (64 MB); with ever more keys it lets more
+    references through to the exact join, never fewer.
     """
     # both are used several times below: as tables they are computed once
     live = materialise(live_parents(parents), "live-parents")
-    n_blocks = n_blocks or bloom.blocks_for(live.count())
-    flagged = materialise(bloom.probe(refs, "key", bloom.build(live, "key", n_blocks), n_blocks, "maybe"), "flagged-references")
+    n_live = live.count()
+    n_blocks = n_blocks or bloom.blocks_for(n_live)
+    # a filter so full that it proves nothing is left out: then every reference is verified
+    probed = bloom.probe(refs, "key", bloom.build(live, "key", n_blocks), n_blocks, "maybe") if bloom.is_worth(n_live, n_blocks) else refs.withColumn("maybe", F.lit(True))
+    flagged = materialise(probed, "flagged-references")
     definite = flagged.where(~F.col("maybe")).drop("maybe")
     positive = flagged.where("maybe").drop("maybe")
 

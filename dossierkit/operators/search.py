@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SEARCHED, items, text
+from ..session import materialise
 
 K1, B = 1.2, 0.75
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -22,7 +23,7 @@ def terms(query: str) -> list[str]:
     return list(dict.fromkeys(query.lower().split()))
 
 
-def _query_tokens(query: str) -> list[str]:
+def query_tokens(query: str) -> list[str]:
     """The query cut into index terms, as texts are."""
     import regex
 
@@ -36,16 +37,17 @@ def _equals(word: str):  # noqa: ANN202
 def bm25(docs: DataFrame, key: str, body: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of the rows that hold a term of the query.
 
-    Only the query's terms are counted, within each row, so nothing is exploded:
-    one pass gives the corpus statistics (a single row), another the scores.
-    Null texts count as no document; a query without terms finds nothing.
+    For texts without a stored index (``textindex``). Only the query's terms are
+    counted, within each row, in one pass over the texts; statistics and scores
+    come from the counts. Null texts count as no document; a query without terms
+    finds nothing.
     """
-    words = _query_tokens(query)
+    words = query_tokens(query)
     if not words:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     found = docs.where(F.col(body).isNotNull()).select(key, tokens(F.col(body)).alias("__t"))
     tf = [F.size(F.filter("__t", _equals(w))).alias(f"__f{i}") for i, w in enumerate(words)]
-    counted = found.select(key, F.size("__t").alias("__len"), *tf)
+    counted = materialise(found.select(key, F.size("__t").alias("__len"), *tf), "term-counts")
     sums = counted.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *[F.sum((F.col(f"__f{i}") > 0).cast("long")).alias(f"__d{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i in range(len(words)):
@@ -77,18 +79,20 @@ def field_text(field: str) -> Column:
     return F.lower(F.array_join(items(field), " ")) if field in LISTS else F.coalesce(F.lower(text(field)), F.lit(""))
 
 
-def keyword_search(docs: DataFrame, params: SearchParams) -> DataFrame:
-    """Ranked hits: rank, id, score, matched_fields.
+def keyword_search(docs: DataFrame, params: SearchParams, hits: DataFrame | None = None) -> DataFrame:
+    """Ranked hits: id, score, matched_fields.
 
     The best max(4 * (offset + limit), 50) rows by BM25 over ``search_text`` are
     candidates; their score is the number of distinct query terms found, as
     substrings, in any searched field; equal scores keep the order of BM25.
+    ``hits`` (id, score) come from a stored index; without one the texts are read.
     """
     wanted = terms(params.query)
-    base = docs.dropDuplicates(["id"])
-    hits = bm25(base, "id", "search_text", params.query)
+    if hits is None:
+        hits = bm25(docs.select("id", "search_text").dropDuplicates(["id"]), "id", "search_text", params.query)
     best = hits.orderBy(F.desc(F.round("score", 9)), "id").limit(max(4 * (params.offset + params.limit), 50))
-    rows = base.join(F.broadcast(best.withColumnRenamed("score", "bm25")), "id")
+    # wide rows of the candidates only
+    rows = docs.join(F.broadcast(best.withColumnRenamed("score", "bm25")), "id").dropDuplicates(["id"])
     if params.media_type is not None:
         rows = rows.where(F.array_contains(items("artifact_types"), params.media_type))
     fields = {f: field_text(f) for f in SEARCHED}

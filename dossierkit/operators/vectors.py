@@ -48,7 +48,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
                     d = 1 - (a @ b.T) / np.maximum(np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :], 1e-300)
                 else:
                     d = np.sqrt(np.maximum((a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)[None, :], 0))
-                d = np.round(d, 6)
+                d = np.round(np.maximum(d, 0), 6)  # rounding leaves like vectors just under 0
                 order = np.lexsort((np.broadcast_to(v_ids, d.shape), d), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(q_ids, order.shape[1])), pa.array(v_ids[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["query_id", key, "distance"]

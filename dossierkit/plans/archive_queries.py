@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ from ..operators import maintenance
 from ..operators import mapping as M
 from ..operators import vectors as V
 from ..operators.graph import related
-from ..operators.sqlguard import describe_schema, frame
+from ..operators.sqlguard import describe_schema, frame, run_sql
 from ..schema import LISTS, items, size
-from ..session import shared_folder, table
+from ..session import intermediates, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -283,15 +284,8 @@ def artifact_text_page(spark: SparkSession, d: str) -> DataFrame:
     return page.select("id", "name", "status", "text_offset", "returned_bytes", "total_bytes", "truncated")
 
 
-@query("""SELECT DISTINCT id, name, to_base64(encode(substr(text, 1, 300))) AS data_base64, least(300, strlen(text)) AS returned_bytes, strlen(text) AS total_bytes, 300 < strlen(text) AS truncated
-FROM artifact_text WHERE text IS NOT NULL AND strlen(text) = length(text)""")
-def artifact_bytes_base64(spark: SparkSession, d: str) -> DataFrame:
-    """Of texts of one-byte characters, as SQL cuts by characters; ``artifact_bytes_utf8`` takes every text."""
-    plain = table(spark, d, "artifact_text").where("octet_length(text) = length(text)").select("id", "name", F.encode("text", "UTF-8").alias("data")).distinct()
-    return A.read_bytes(plain, 0, 300)
-
-
-@query()
+@query("""SELECT DISTINCT id, name, to_base64(encode(text)[1:300]) AS data_base64, least(300, strlen(text)) AS returned_bytes, strlen(text) AS total_bytes, 300 < strlen(text) AS truncated
+FROM artifact_text WHERE text IS NOT NULL""")
 def artifact_bytes_utf8(spark: SparkSession, d: str) -> DataFrame:
     """Of every text; a page may cut a character."""
     return A.read_bytes(_bytes(spark, d), 0, 300)
@@ -379,12 +373,28 @@ _guarded("sql_semi_anti", """SELECT c_custkey, c_name FROM customer WHERE EXISTS
          ("customer", "orders"))
 _guarded("sql_outer_joins", """SELECT r_name, n_name, count(c_custkey) AS n FROM region FULL OUTER JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal < 0 GROUP BY r_name, n_name""",
          ("region", "nation", "customer"))
-_guarded("sql_scalar_subquery", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part) * 1.1", ("part",))
+_guarded("sql_scalar_subquery", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)", ("part",))
 _guarded("sql_theta_join", "SELECT a.s_suppkey, count(*) AS richer FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_acctbal > a.s_acctbal GROUP BY a.s_suppkey", ("supplier",))
 _guarded("sql_cte_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t", ("region",))
 _guarded("sql_case_strings", """SELECT genre, count(*) AS n, sum(CASE WHEN title IS NULL OR title = '' THEN 1 ELSE 0 END) AS untitled, max(length(title)) AS longest, min(lower(trim(title))) AS first_title FROM doc_meta GROUP BY genre""",
          ("doc_meta",), """SELECT genre, count(*) AS n, CAST(sum(CASE WHEN title IS NULL OR title = '' THEN 1 ELSE 0 END) AS BIGINT) AS untitled, max(length(title)) AS longest, min(lower(trim(title))) AS first_title FROM doc_meta GROUP BY genre""")
-_guarded("sql_row_cap", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 201", ("lineitem",))
+
+
+_CAPPED = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > {q} ORDER BY l_quantity DESC, l_orderkey, l_linenumber"
+
+
+@query(f"""SELECT * FROM (SELECT 'cut' AS asked, (SELECT count(*) > 200 FROM ({_CAPPED.format(q=10)})) AS truncated, l_orderkey, l_linenumber, l_quantity FROM ({_CAPPED.format(q=10)}) LIMIT 200)
+UNION ALL SELECT * FROM (SELECT 'whole', (SELECT count(*) > 200 FROM ({_CAPPED.format(q=10)} LIMIT 7)), * FROM ({_CAPPED.format(q=10)} LIMIT 7))""")
+def sql_row_cap(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and truncation flag of run_sql, for a statement over the bound and one under it."""
+    tables = {"lineitem": table(spark, d, "lineitem")}
+    rows = []
+    for asked, sql in (("cut", _CAPPED.format(q=10)), ("whole", _CAPPED.format(q=10) + " LIMIT 7")):
+        got = run_sql(spark, sql, tables)
+        rows += [(asked, got.truncated, r["l_orderkey"], r["l_linenumber"], float(r["l_quantity"])) for r in got.rows]
+    return spark.createDataFrame(rows, "asked string, truncated boolean, l_orderkey long, l_linenumber long, l_quantity double")
+
+
 _guarded("sql_values", "SELECT * FROM (VALUES (1, 'a'), (2, NULL)) AS t(x, y)", ("region",))
 
 
@@ -438,9 +448,7 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT user_id, event_type, count(*) AS n, max(value) AS top FROM events GROUP BY user_id, event_type""")
 def stream_keyed_counts(spark: SparkSession, d: str) -> DataFrame:
     """A streaming aggregation over the events, run to its end."""
-    import uuid
-
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{intermediates(spark)}/stream-{uuid.uuid4().hex}"
     source = table(spark, d, "events")
     events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     counted = events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"))
@@ -448,20 +456,64 @@ def stream_keyed_counts(spark: SparkSession, d: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/{number}")
 
+    # each batch gives all counts up to then; a batch that is repeated overwrites its own folder
     counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out/0")
+    out = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/out")
+    batches = [int(x.getPath().getName()) for x in out.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(out)]
+    return spark.read.parquet(f"{root}/out/{max(batches)}")
 
 
-@query()
+_MAPPED_SQL = """WITH k AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT id, name, media_type, size, md5 FROM artifacts) GROUP BY id)
+SELECT DISTINCT d.id, d.title, d.ddmudate, coalesce(k.n, 0) AS artifact_count FROM doc_meta d LEFT JOIN k ON k.id = d.id WHERE d.id IS NOT NULL"""
+
+
+@query("SELECT * FROM (" + _MAPPED_SQL + ") WHERE artifact_count > 0")
 def stream_apply(spark: SparkSession, d: str) -> DataFrame:
-    """The archive's records, written out in pages and applied as a stream; what is then stored."""
-    import uuid
+    """The archive's records, written out in pages and applied as a stream of small batches; what is then stored.
 
+    An incremental run takes a record without artifacts for a withdrawn one, so
+    only documents with artifacts are compared.
+    """
     from ..streaming.apply import stream_apply as start
 
-    root = f"{shared_folder(spark)}/apply-{uuid.uuid4().hex}"
-    _records(spark, d).write.text(f"{root}/records")
-    records = spark.readStream.text(f"{root}/records").withColumnRenamed("value", "record")
+    root = f"{intermediates(spark)}/apply-{uuid.uuid4().hex}"
+    _records(spark, d).repartition(4, "record").write.text(f"{root}/records")
+    records = spark.readStream.option("maxFilesPerTrigger", 2).text(f"{root}/records").withColumnRenamed("value", "record")
     store = I.Store(spark, f"{root}/store")
     start(records, store, f"{root}/checkpoint").awaitTermination()
-    return store.read("documents").select("id", "digest", "title", "artifact_count")
+    return store.read("documents").where("artifact_count > 0").select("id", "title", "ddmudate", "artifact_count")
+
+
+@query("SELECT * FROM (" + _MAPPED_SQL + ") WHERE id NOT IN (SELECT id FROM withdrawals WHERE id IS NOT NULL)")
+def full_build(spark: SparkSession, d: str) -> DataFrame:
+    """The archive built whole from its records, without the withdrawn ones."""
+    gone = table(spark, d, "withdrawals").select("id", F.lit(True).alias("gone")).distinct()
+    mapped = M.map_records(_records(spark, d))
+    documents = mapped.drop("artifacts", "redacted").join(gone, "id", "left").withColumnRenamed("gone", "redacted").distinct()
+    store = I.Store(spark, f"{intermediates(spark)}/build-{uuid.uuid4().hex}")
+    I.build(store, documents, M.explode_artifacts(mapped), drop_redacted=True)
+    return store.read("documents").select("id", "title", "ddmudate", "artifact_count")
+
+
+@query("""SELECT DISTINCT id, bn IS NULL OR coalesce(genre, '') = 'memo' AS redacted FROM doc_meta WHERE id IS NOT NULL""")
+def policy_flag(spark: SparkSession, d: str) -> DataFrame:
+    """The policy flag of records that carry it in every way: as booleans, as texts (which don't count), or not at all."""
+    docs = table(spark, d, "doc_meta").where("id IS NOT NULL").select("id", "bn", "genre").distinct()
+    record = F.when(F.col("bn").isNull(), F.to_json(F.struct("id", F.lit(True).alias("deaccessioned")))).when(F.col("genre") == "memo", F.to_json(F.struct("id", F.lit(False).alias("published"))))
+    record = record.when(F.col("genre").isNull(), F.to_json(F.struct("id"))).otherwise(F.to_json(F.struct("id", F.lit("true").alias("deaccessioned"), F.lit(True).alias("published"))))
+    return M.map_records(docs.select(record.alias("record"))).select("id", "redacted").distinct()
+
+
+@query("SELECT DISTINCT id, coalesce(list_sort(list(DISTINCT media_type) FILTER (media_type IS NOT NULL)), []) AS types, count(*) AS n FROM (SELECT DISTINCT id, name, media_type FROM artifacts) GROUP BY id")
+def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Artifacts stored in one table by several changes, layer on layer: what is then in force."""
+    rows = table(spark, d, "artifacts").select("id", "name", "media_type").distinct()
+    store = I.Store(spark, f"{intermediates(spark)}/layers-{uuid.uuid4().hex}")
+    store.write("artifacts", rows.withColumn("media_type", F.lit("stale")))
+    part = F.pmod(F.xxhash64("id"), F.lit(3))
+    for i in range(3):
+        t = store.begin()
+        t.merge("artifacts", rows.where(part == i), rows.where(part == i).select("id"))
+        t.commit()
+    found = store.read("artifacts").groupBy("id").agg(F.sort_array(F.collect_set("media_type")).alias("types"), F.count("*").alias("n"))
+    return found

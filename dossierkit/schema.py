@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S = T.StringType()
+# The archive's columns and their order, by which its users read it.
 SCALARS = ["id", "bn", "title", "industry", "collection", "genre", "date_sent", "date_received", "topic", "description", "keywords", "conversation"]
 LISTS = ["custodian", "authors", "recipients", "cc", "attachments", "related", "mentions"]
 

@@ -15,15 +15,40 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Only a session that names none (tests, local mode) gets a temporary one.
+    Only a local session that names none (tests) gets a temporary one: on a
+    cluster each machine would write to a disk of its own, so it is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/dossierkit-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def intermediates(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the driver's JVM ends."""
+    sc = spark.sparkContext
+    path = f"{shared_folder(spark)}/dossierkit-{sc.applicationId}"
+    if getattr(sc, "_dossierkit_folder", None) != path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._dossierkit_folder = path
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables; frames not yet computed can't be after that."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(intermediates(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for name in ("_dossierkit_folder", "_dossierkit_indexes"):
+        if hasattr(spark.sparkContext, name):
+            delattr(spark.sparkContext, name)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
@@ -33,13 +58,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
+    """Write ``df`` as a Parquet table among the intermediates and read it back.
 
     Smaller on disk than a checkpoint (columnar, compressed) and it survives the
     loss of any executor; later reads prune columns and push filters.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{intermediates(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 

@@ -15,10 +15,12 @@ def stream_apply(records: DataFrame, store: Store, checkpoint: str) -> Streaming
 
     The checkpoint's offsets replace the stored watermark as the lower bound.
     Applying a batch again finds every digest unchanged, so a batch that is
-    repeated after a failure does no harm.
+    repeated after a failure does no harm. Only a stream's first batch may build
+    the archive: if a later one finds none, something removed it, and the stream
+    stops instead of beginning a new one with what the batch happens to hold.
     """
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         mapped = map_records(batch)
         newest = F.row_number().over(_newest())
         mapped = mapped.withColumn("__k", newest).where("__k = 1").drop("__k").persist()
@@ -26,8 +28,10 @@ def stream_apply(records: DataFrame, store: Store, checkpoint: str) -> Streaming
             documents, artifacts = mapped.drop("artifacts"), explode_artifacts(mapped)
             if store.exists("documents"):
                 apply(store, documents, artifacts, everything=True)
-            else:
+            elif number == 0:
                 build(store, documents, artifacts)
+            else:
+                raise RuntimeError(f"no archive under {store.root} though the stream is at batch {number}")
         finally:
             mapped.unpersist()
 

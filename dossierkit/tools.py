@@ -1,28 +1,36 @@
 """The eight tools of the archive: plain callables over a set of tables.
 
-Only here rows reach the driver, and never more than a tool's bound.
+Only here rows reach the driver: never more than a tool's bound, or one document's
+artifacts and neighbourhood, which come a partition at a time.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.embed import Embedder, HashingEmbedder
 from .operators import artifacts as A
 from .operators import lookup as L
+from .operators import textindex
 from .operators import vectors as V
 from .operators.graph import related
 from .operators.search import SearchParams, bm25, keyword_search, snippet
+from .operators.textindex import TextIndex
 from .operators.sqlguard import SqlResult, describe_schema, run_sql
 from .schema import DOCUMENTS
 
 
+def chunk_key() -> Column:
+    """Key of a chunk in indexes and rankings."""
+    return F.xxhash64("doc_id", "artifact_name", "chunk_idx")
+
+
 @dataclass
 class Archive:
-    """Tables of an archive; ``chunks``, ``raw`` and ``files`` may be missing."""
+    """Tables of an archive; ``chunks``, ``raw``, ``files`` and the stored full-text indexes (of documents by id, of chunks by key) may be missing."""
 
     spark: SparkSession
     documents: DataFrame
@@ -32,6 +40,8 @@ class Archive:
     files: DataFrame | None = None
     embedder: Embedder = field(default_factory=HashingEmbedder)
     embed_model: str | None = None  # model the chunks were embedded with
+    text_index: TextIndex | None = None
+    chunk_index: TextIndex | None = None
 
     def _tables(self) -> dict[str, DataFrame]:
         known = {"documents": self.documents, "artifacts": self.artifacts}
@@ -44,7 +54,8 @@ class Archive:
         params = SearchParams(query, media_type, A.clamp(limit, A.HITS), max(offset, 0))
         if not query.strip():
             return {"count": 0, "hits": []}
-        hits = [r.asDict() for r in keyword_search(self.documents, params).collect()]
+        found = None if self.text_index is None else textindex.search(self.text_index, query).withColumnRenamed("key", "id")
+        hits = [r.asDict() for r in keyword_search(self.documents, params, found).collect()]
         rows = self._by_id([h["id"] for h in hits])
         return {"count": len(hits), "hits": [{"document": rows.get(h["id"], {"id": h["id"]}), "score": h["score"], "matched_fields": h["matched_fields"]} for h in hits]}
 
@@ -63,9 +74,9 @@ class Archive:
             return {"count": 0, "hits": []}
         if self.embed_model is not None and self.embed_model != self.embedder.model:
             return {"error": f"chunks were embedded with {self.embed_model}, not {self.embedder.model}"}
-        key = F.xxhash64("doc_id", "artifact_name", "chunk_idx")
-        keyed = self.chunks.withColumn("key", key)
-        words = bm25(keyed, "key", "text", query).orderBy(F.desc(F.round("score", 9)), "key").limit(factor * n)
+        keyed = self.chunks.withColumn("key", chunk_key())
+        scored = bm25(keyed, "key", "text", query) if self.chunk_index is None else textindex.search(self.chunk_index, query)
+        words = scored.orderBy(F.desc(F.round("score", 9)), "key").limit(factor * n)
         from pyspark.sql import Window
 
         by_words = words.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "key"))).select("key", "rank")
@@ -116,14 +127,19 @@ class Archive:
         if found is None:
             return {"found": False, "document": None, "artifacts": []}
         document = self._by_id([found["id"]])[found["id"]]
-        parts = self.artifacts.where(F.col("id") == found["id"]).distinct().orderBy("name").limit(10_000)
-        return {"found": True, "document": document, "artifacts": [r.asDict() for r in parts.collect()]}
+        parts = self.artifacts.where(F.col("id") == found["id"]).distinct().orderBy("name")
+        return {"found": True, "document": document, "artifacts": [r.asDict() for r in parts.toLocalIterator()]}
 
-    def get_related(self, start: str, depth: int = 1, most: int = 10_000) -> dict:
+    def get_related(self, start: str, depth: int = 1, most: int | None = None) -> dict:
+        """The graph around a document, whole; with ``most``, its first edges and nodes by depth, kind and id, the true counts, and whether it was cut."""
         graph = related(self.documents, start, depth)
-        edges = [r.asDict() for r in graph.edges.limit(most).collect()]
-        nodes = {r["id"]: r.asDict() for r in self.documents.select(*self._columns()).dropDuplicates(["id"]).join(graph.nodes, "id", "left_semi").limit(most).collect()}
-        return {"edge_count": graph.edges.count() if len(edges) == most else len(edges), "graph": {"nodes": nodes, "edges": edges}}
+        edges = graph.edges.orderBy("depth", "from_id", "kind", "reference", "neighbor_id")
+        nodes = self.documents.select(*self._columns()).dropDuplicates(["id"]).join(graph.nodes, "id", "left_semi").orderBy("id")
+        n_edges, n_nodes = graph.edges.count(), graph.nodes.count()
+        if most is not None:
+            edges, nodes = edges.limit(most), nodes.limit(most)
+        shown = {"nodes": {r["id"]: r.asDict() for r in nodes.toLocalIterator()}, "edges": [r.asDict() for r in edges.toLocalIterator()]}
+        return {"edge_count": n_edges, "node_count": n_nodes, "truncated": most is not None and max(n_edges, n_nodes) > most, "graph": shown}
 
 
 TOOLS = ("search_documents", "hybrid_search", "get_artifact_text", "get_artifact_bytes", "run_sql", "describe_schema", "get_document", "get_related")
