@@ -1,18 +1,23 @@
 """Problem 2: quoted history, signatures and disclaimers in emails.
 
-The messages of a conversation are brought into order; each message's words are
-cut into shingles of which a rolling window keeps the least (so every stretch of
-some words holds one), and the earliest message of the conversation that holds a
-shingle is found by one aggregation over (conversation, shingle). Within a
-message the shingles found in an ancestor are aligned with it: runs that keep
-the ancestor's order are inherited spans. With the marks, headers and
-introductions of quotes, and the closing formulas, contact lines and disclaimers
-of signatures, they decide line by line what the sender did not newly write.
+A conversation bounds a thread; within it, who quotes whom comes from the texts.
+Each message's words are cut into shingles of which a rolling window keeps the
+least (so every stretch of some words holds one), and one aggregation over
+(conversation, shingle) finds the message that had a shingle first: the earliest
+by its time, and of several at one time (or of none) the one that quotes it
+least deep. Within a message the shingles that an ancestor had are aligned with
+it: runs that keep the ancestor's order are inherited spans. The lines right
+above a span, whatever their wording, introduce it. How the lines above spans
+are worded is counted over all messages, and wordings that mostly introduce are
+taken for introductions where the quoted message itself is not in the corpus, as
+are the headers of mail programs. Closing formulas, contact lines and
+disclaimers end what the sender wrote.
 
 Defined cases: null and blank texts have no lines to remove; a message all of
 whose lines are inherited without any mark is a copy of its own, not a quote;
-messages without a time come last; exact duplicate rows count once; further
-columns are ignored. A conversation is never gathered in one task.
+messages without a time come last; an introduction is of ``INTRO`` lines at most;
+exact duplicate rows count once; further columns are ignored. A conversation is
+never gathered in one task.
 """
 
 from __future__ import annotations
@@ -27,8 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters from which a line is running text, whatever it looks like.
-LONG = 400
+from ..session import materialise
+
+#: Lines of an introduction, at most.
+INTRO = 6
+#: A wording introduces if it stands above inherited spans so often at least, and in such a share of its places.
+LEAST_ABOVE, SHARE_ABOVE = 3, 0.5
 #: Words of a shingle, and shingles of a window of which one is kept.
 SHINGLE, WINDOW = 6, 6
 
@@ -41,19 +50,21 @@ _HEADER = re.compile(
     re.IGNORECASE,
 )
 _DIVIDER = re.compile(
-    r"\s*[(\[]?(?:[-=_*~ ]*(?:-{2,}|={2,}|_{4,})\s*)?(?:begin forwarded message|forwarded message|original message|earlier mail below|earlier note below|ursprüngliche nachricht|weitergeleitete nachricht|"
-    r"anfang der weitergeleiteten nachricht|message d'origine|message d’origine|message transféré|message original|mensaje original|mensaje reenviado|pasting what came in before)\b",
+    r"\s*[(\[]?[-=_*~ ]*+(?:begin forwarded message|forwarded message|original message|ursprüngliche nachricht|weitergeleitete nachricht|"
+    r"anfang der weitergeleiteten nachricht|message d'origine|message d’origine|message transféré|message original|mensaje original|mensaje reenviado)\b",
     re.IGNORECASE,
 )
 _DIVIDER_SHAPE = re.compile(r"\s*[-=(*_\[].*[-=)*_:\]]\s*$|[^.?!]*:\s*$")
-_INTRO_END = re.compile(r"(?:\b(?:wrote|said|schrieb|a écrit|écrit|escribió|écrivait|writes)\b.*:|\bhad written:?|'s note said:|\bnote said:)\s*$", re.IGNORECASE)
+_INTRO_END = re.compile(r"\b(?:wrote|said|schrieb|a écrit|écrit|escribió|écrivait|writes)\b.*:\s*$", re.IGNORECASE)
 _INTRO_START = re.compile(r"\s*(?:On|Am|Le|El)\s.*\d")
-_QUOTING = re.compile(r"\s*Quoting \([^)]*\d[^)]*\).{0,120}:\s*$")
+_INTRO_VERB = re.compile(r"\b(wrote|schrieb|écrit|escribió|said)\b")
+_DATED = re.compile(r"\d|<")
+_QUOTING = re.compile(r"\s*Quoting \((?=[^)]*\d)[^)]*+\).{0,120}:\s*$")
 _CLOSING = re.compile(
     r"\s*(?:(?:kind|best|warm|many|with|warmest|kindest)\s+(?:thanks\s+and\s+)?regards|many thanks(?: and regards)?|regards|best wishes|best|sincerely(?: yours)?|yours(?: (?:sincerely|truly|faithfully|ever))?|cheers|thanks(?: again)?|thank you|thx|"
     r"respectfully|cordially|all the best|take care|mit (?:freundlichen|besten|herzlichen) gr(?:ü|ue)(?:ß|ss)en|(?:viele|beste|herzliche|liebe|freundliche) gr(?:ü|ue)(?:ß|ss)e|mfg|hochachtungsvoll|"
     r"(?:bien )?cordialement|bien à vous|salutations(?: distinguées)?|sincères salutations|amicalement|(?:un )?(?:cordial saludo|saludo)s?|saludos(?: cordiales)?|atentamente|cordialmente|un abrazo)"
-    r"\s*[,.!]?\s*(?P<name>(?:[-–]\s*)?(?:[A-ZÀ-Ý][\w.'’-]*\s*){0,4})$",
+    r"\s*[,.!]?\s*(?P<name>(?:[-–]\s*)?(?:[A-ZÀ-Ý][\w.'’-]*+(?:\s+|$)){0,4})$",
     re.IGNORECASE,
 )
 _SENT_FROM = re.compile(
@@ -61,10 +72,11 @@ _SENT_FROM = re.compile(
     r"envoyé (?:de|depuis) mon|enviado desde mi|get (?:the|our) \w+ app|get outlook)[^.]*\.?\s*$",
     re.IGNORECASE,
 )
+_GREETING = re.compile(r"\s*(?:hi|hello|hey|dear|good (?:morning|afternoon|evening|day)|hallo|guten (?:tag|morgen|abend)|liebe[rs]?|sehr geehrte[rs]?|bonjour|bonsoir|salut|ch[eè]re?s?|hola|buen[oa]s (?:días|tardes|noches)|estimad[oa]s?|querid[oa]s?)\b", re.IGNORECASE)
 _DASHES = re.compile(r"\s*--\s*$")
 _RULE = re.compile(r"\s*([-=_*~#])\1{4,}\s*$")
 _CARD = re.compile(r"\s*\*[^*|]+\*\s*\||.*\|\s*<?[\w.+-]+@[\w.-]+>?\s*$")
-_PHONE = re.compile(r"\s*(?:(?:T|Tel|Tél|Phone|ph|M|Mobile|Fax|Office|Cell|Direct)\b[.:]?\s*)?[+(]?\d[\d\s().-]{7,}(?:\s*\|.*)?\s*$", re.IGNORECASE)
+_PHONE = re.compile(r"\s*(?:(?:T|Tel|Tél|Phone|ph|M|Mobile|Fax|Office|Cell|Direct)\b[.:]?\s*)?[+(]?\d[\d\s().-]{7,}+(?:\|.*)?$", re.IGNORECASE)
 _DISCLAIMER = re.compile(
     r"\s*\[?(?:this (?:message|e-?mail|communication|transmission)\b.*(?:privileg|confiden|exempt|intended)|this message and any attachment|this communication may|the contents of this e-?mail|the information (?:above|contained)|"
     r"notice:|confidentiality\b|confidential(?:ity)? notice|disclaimer\b|views expressed here|ce message est|ce courriel|diese (?:nachricht|e-?mail) ist|este (?:mensaje|correo) )",
@@ -145,37 +157,96 @@ def inherited_words(n_words: int, at: np.ndarray, source: np.ndarray, source_at:
 
 
 def _intro(lines: list[Line], i: int) -> int:
-    """Number of lines, from line i, of an introduction to a quote that follows; 0 if there is none."""
+    """Number of lines, from line i, of an introduction in a mail program's words to a quote that follows; 0 if there is none."""
     body = lines[i].body
-    if len(body) > LONG:
-        return 0
     if _DIVIDER.match(body) and _DIVIDER_SHAPE.match(body):
         return 1
-    if _INTRO_END.search(body) or _QUOTING.match(body):
+    if body.endswith(":") and (_INTRO_END.search(body) or _QUOTING.match(body)):
         return 1
-    if body.startswith("Quoting ("):
-        for n in range(2, 5):
-            if i + n > len(lines) or not lines[i + n - 1].body or len(lines[i + n - 1].body) > LONG:
-                break
-            if _QUOTING.match(" ".join(x.body for x in lines[i : i + n])):
-                return n
-    joined = body
-    for n in range(2, 5):
-        if i + n > len(lines) or not lines[i + n - 1].body or lines[i + n - 1].depth != lines[i].depth or len(joined) > LONG:
+    joined, quoting = body, body.startswith("Quoting (")
+    for n in range(2, INTRO + 1):
+        if i + n > len(lines) or not lines[i + n - 1].body or lines[i + n - 1].depth != lines[i].depth:
             break
         joined += " " + lines[i + n - 1].body
-        if (_INTRO_START.match(body) or re.search(r"\d|<", joined)) and _INTRO_END.search(joined) and len(joined) < 200 and re.search(r"\b(wrote|schrieb|écrit|escribió|said)\b", joined):
+        if not joined.endswith(":"):
+            continue
+        if quoting and _QUOTING.match(joined):
+            return n
+        if (_INTRO_START.match(body) or _DATED.search(joined)) and _INTRO_VERB.search(joined) and _INTRO_END.search(joined):
             return n
     return 0
 
 
+def _may_head(lines: list[Line], i: int) -> bool:
+    """Whether a line has the shape of one that heads something: a divider, an ending colon, or words that are no sentence and no greeting, few or begun afresh."""
+    line, body = lines[i], lines[i].body
+    if not line.words or _GREETING.match(body) or _CLOSING.match(body) or _HEADER.match(body):
+        return False
+    return bool(_DIVIDER_SHAPE.match(body)) and line.words <= 16 or line.words <= (6 if i and lines[i - 1].body else 16) and body[-1] not in ".?!,;"
+
+
+def wording(line: Line) -> int:
+    """A line's wording without what differs from message to message: names, numbers and addresses."""
+    kept = ["#" if any(map(str.isdigit, w)) or "@" in w else "N" if w[:1].isupper() and k else w.lower() for k, w in enumerate(re.findall(r"[^\s,.:;()<>\[\]=*_~-]+", line.body))]
+    if kept and line.body.lstrip("(=-*[_~ ")[:1].isupper() and len(kept) > 1 and kept[1] == "N":
+        kept[0] = "N"  # a name comes first
+    ends = line.body[0] + line.body[-1]
+    mark = "".join(c for c in ends if not c.isalnum())
+    return xxhash.xxh3_64_intdigest(f"{mark} {' '.join(kept)}".encode()) >> 1
+
+
+def headed(lines: list[Line], i: int, took: np.ndarray) -> bool | None:
+    """Whether the lines below line i, at its own depth or deeper, begin with an inherited span; None if nothing is below."""
+    n = len(lines)
+    j = i + 1
+    while j < n and not lines[j].body:
+        j += 1
+    if j >= n:
+        return None
+    if lines[j].depth < lines[i].depth:
+        return False
+    for _ in range(2):  # a greeting may come first
+        k = j
+        while k < n and lines[k].body and lines[k].depth == lines[j].depth:
+            k += 1
+        long = [x for x in range(j, k) if lines[x].words >= 3]
+        if long and not (len(long) == 1 and _GREETING.match(lines[long[0]].body)):
+            return sum(map(bool, took[long])) * 2 >= len(long)
+        while k < n and not lines[k].body:
+            k += 1
+        if k >= n:
+            return False
+        j = k
+    return False
+
+
+def heads(lines: list[Line], inherited: np.ndarray | None) -> list[tuple[int, int, bool]]:
+    """(line, wording, whether an inherited span is below) of the unmarked lines that may introduce something."""
+    took = _taken(lines, inherited)
+    out = []
+    for i, line in enumerate(lines):
+        if line.body and not line.depth and not took[i] and _may_head(lines, i):
+            below = headed(lines, i, took)
+            if below is not None:
+                out.append((i, wording(line), below))
+    return out
+
+
+def _taken(lines: list[Line], inherited: np.ndarray | None) -> np.ndarray:
+    """Lines at least half of whose words lie in inherited spans."""
+    took = np.zeros(len(lines), bool)
+    if inherited is not None:
+        for i, line in enumerate(lines):
+            if line.words and line.first + line.words <= len(inherited):
+                took[i] = inherited[line.first : line.first + line.words].mean() >= 0.5
+    return took
+
+
 def _header(lines: list[Line], i: int) -> int:
     """Number of lines, from line i, of a header block; 0 if there is none."""
     n = i
     hits = 0
     while n < len(lines) and lines[n].depth == lines[i].depth and lines[n].body:
-        if len(lines[n].body) > LONG:
-            break
         if _HEADER.match(lines[n].body):
             hits += 1
         elif hits == 0 or len(lines[n].body) > 100 or n - i > 8 or not _HEADER.match(lines[n - 1].body):
@@ -184,14 +255,15 @@ def _header(lines: list[Line], i: int) -> int:
     return n - i if hits >= 2 else 0
 
 
-def not_written(text: str, inherited: np.ndarray | None = None) -> list[int]:
-    """Numbers, from 1, of the lines that the sender did not newly write."""
+def not_written(text: str, inherited: np.ndarray | None = None, introduces: set[int] | None = None) -> list[int]:
+    """Numbers, from 1, of the lines that the sender did not newly write.
+
+    ``introduces`` holds the lines, from 0, whose wording introduces elsewhere.
+    """
     lines = read_lines(text)
     n = len(lines)
-    took = np.zeros(n, bool)
-    for i, line in enumerate(lines):
-        if inherited is not None and line.words and line.first + line.words <= len(inherited):
-            took[i] = inherited[line.first : line.first + line.words].mean() >= 0.5
+    took = _taken(lines, inherited)
+    above = {i for i, _, below in heads(lines, inherited) if below} | (introduces or set())
 
     blank = [not ln.body and not ln.depth for ln in lines]
     marked = [ln.depth > 0 for ln in lines]
@@ -214,7 +286,12 @@ def not_written(text: str, inherited: np.ndarray | None = None) -> list[int]:
         if blank[i] or marked[i]:
             i += 1
             continue
-        intro = _intro(lines, i)
+        intro = _intro(lines, i) or int(i in above)
+        if not intro and _DIVIDER_SHAPE.match(lines[i].body) and lines[i].words:
+            j = i + 1
+            while j < n and blank[j]:
+                j += 1
+            intro = int(j < n and not marked[j] and bool(_header(lines, j)))  # whatever its words, it divides
         head = _header(lines, i + intro) if i + intro < n else 0
         if not intro and not head and _RULE.match(lines[i].body):
             j = i + 1
@@ -277,7 +354,7 @@ def not_written(text: str, inherited: np.ndarray | None = None) -> list[int]:
     _signatures(lines, blank, out)
     for x, y in _paragraphs(blank, 0, n):
         start = x + 1 if _RULE.match(lines[x].body) and x + 1 < y else x
-        if not lines[start].depth and _DISCLAIMER.match(lines[start].body[:LONG]) and out[start]:
+        if not lines[start].depth and _DISCLAIMER.match(lines[start].body) and out[start]:
             for k in range(x, y):
                 out[k] = True
     full = [i for i in range(n) if not blank[i]]
@@ -288,7 +365,7 @@ def not_written(text: str, inherited: np.ndarray | None = None) -> list[int]:
 
 
 def _is(form: re.Pattern, body: str) -> bool:
-    return len(body) <= LONG and form.match(body) is not None
+    return form.match(body) is not None
 
 
 def _paragraphs(blank: list[bool], a: int, b: int) -> list[tuple[int, int]]:
@@ -311,7 +388,7 @@ def _release_answers(lines: list[Line], blank: list[bool], took: np.ndarray, quo
     held = [any(took[k] for k in range(x, y)) for x, y in paragraphs]
     for p, (x, y) in enumerate(paragraphs):
         words = sum(lines[k].words for k in range(x, y))
-        if held[p] or words < 8 or _DISCLAIMER.match(lines[x].body[:LONG]) or _is(_CLOSING, lines[x].body) or _header(lines, x) or _intro(lines, x):
+        if held[p] or words < 8 or _DISCLAIMER.match(lines[x].body) or _is(_CLOSING, lines[x].body) or _header(lines, x) or _intro(lines, x):
             continue
         if _is(_CARD, lines[x].body) or any(_is(_PHONE, lines[k].body) for k in range(x, y)):
             continue
@@ -373,8 +450,8 @@ def _close_stretch(lines: list[Line], blank: list[bool], out: list[bool], a: int
                 out[x] = True
             k = end
             continue
-        if fresh and _DISCLAIMER.match(body[:LONG]) or (_RULE.match(body) and k + 1 < b and _DISCLAIMER.match(lines[k + 1].body[:LONG])):
-            if _DISCLAIMER.match(body[:LONG]) and k > a and _RULE.match(lines[k - 1].body):
+        if fresh and _DISCLAIMER.match(body) or (_RULE.match(body) and k + 1 < b and _DISCLAIMER.match(lines[k + 1].body)):
+            if _DISCLAIMER.match(body) and k > a and _RULE.match(lines[k - 1].body):
                 out[k - 1] = True
             while k < b and not blank[k]:
                 out[k] = True
@@ -418,7 +495,7 @@ def _signature_end(lines: list[Line], blank: list[bool], start: int, b: int) ->
             body = [lines[x].body for x in range(k, end)]
             inner = [x for x in body if not _RULE.match(x)]
             words = sum(lines[x].words for x in range(k, end))
-            if inner and not _DISCLAIMER.match(inner[0][:LONG]) and not _is(_SENT_FROM, inner[0]) and not _contact_paragraph(lines, blank, k, b):
+            if inner and not _DISCLAIMER.match(inner[0]) and not _is(_SENT_FROM, inner[0]) and not _contact_paragraph(lines, blank, k, b):
                 running = words > 14 or any(x.endswith((".", "?")) and len(x.split()) > 5 for x in inner)
                 if running:
                     return k
@@ -438,30 +515,48 @@ def _time_of() -> F.Column:
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
     for batch in batches:
-        keys, docs, ats, times = [], [], [], []
+        keys, docs, ats, times, depths = [], [], [], [], []
         for m, t, c, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            pos, h = shingles(read_lines(text), xxhash.xxh3_64_intdigest(c), known)
+            lines = read_lines(text)
+            pos, h = shingles(lines, xxhash.xxh3_64_intdigest(c), known)
             if len(pos):
                 keys.append(h.view(np.int64))
                 ats.append(pos.astype(np.int32))
                 docs.append(np.full(len(pos), m, np.int64))
                 times.append(np.full(len(pos), t, np.int64))
+                depths.append(np.repeat([x.depth for x in lines], [x.words for x in lines])[pos].astype(np.int16))
         cat = (lambda x, k: np.concatenate(x) if x else np.empty(0, k))
-        yield pa.RecordBatch.from_arrays([pa.array(cat(keys, np.int64)), pa.array(cat(times, np.int64)), pa.array(cat(docs, np.int64)), pa.array(cat(ats, np.int32))], ["shingle", "at", "doc", "pos"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cat(keys, np.int64)), pa.array(cat(times, np.int64)), pa.array(cat(depths, np.int16)), pa.array(cat(docs, np.int64)), pa.array(cat(ats, np.int32))], ["shingle", "at", "depth", "doc", "pos"]
+        )
+
+
+def _spans(text: str, found: list[dict] | None) -> np.ndarray | None:
+    """Which words of a message lie in inherited spans, by the shingles found in ancestors."""
+    if not found:
+        return None
+    lines = read_lines(text)
+    hits = sorted({(f["pos"], f["doc"], f["src"]) for f in found})
+    return inherited_words(lines[-1].first + lines[-1].words, *(np.array([x[i] for x in hits]) for i in range(3)))
+
+
+def _head_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows: list[list] = [[], [], [], []]
+        for m, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, words, below in heads(read_lines(text), _spans(text, found)):
+                for column, value in zip(rows, (m, i, words, below), strict=True):
+                    column.append(value)
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc", "line", "wording", "below"])
 
 
 def _line_rows(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, numbers = [], []
-            for m, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                inherited = None
-                if found:
-                    lines = read_lines(text)
-                    n_words = lines[-1].first + lines[-1].words
-                    hits = sorted({(f["pos"], f["doc"], f["src"]) for f in found})
-                    inherited = inherited_words(n_words, np.array([x[0] for x in hits]), np.array([x[1] for x in hits]), np.array([x[2] for x in hits]))
-                gone = not_written(text, inherited)
+            for m, text, found, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                gone = not_written(text, _spans(text, found), set(known or ()))
                 if with_text:
                     drop = set(gone)
                     kept = [x for i, x in enumerate(text.split("\n"), 1) if i not in drop]
@@ -478,17 +573,26 @@ def _line_rows(with_text: bool):
 
 def _classified(artifact_text: DataFrame, doc_meta: DataFrame, with_text: bool) -> DataFrame:
     sent = doc_meta.where(F.col("conversation").isNotNull()).groupBy("id").agg(F.min("conversation").alias("conversation"), F.min(_time_of()).alias("at"))
-    texts = artifact_text.where(F.col("text").isNotNull()).select("id", "name", "text")
-    emails = texts.join(sent, "id").select("name", F.xxhash64("name").alias("doc"), "at", "conversation", "text")
-    kind = "shingle long, at long, doc long, pos int"
-    uses = emails.select("doc", "at", "conversation", "text").mapInArrow(_shingle_rows, kind)
+    emails = artifact_text.select("id", "name", "text").join(sent, "id").select("name", F.xxhash64("name").alias("doc"), "at", "conversation", "text")
+    emails, empty = emails.where(F.col("text").isNotNull()), emails.where(F.col("text").isNull())
+    kind = "shingle long, at long, depth short, doc long, pos int"
+    uses = materialise(emails.select("doc", "at", "conversation", "text").mapInArrow(_shingle_rows, kind), "mail-shingles")
     # partial aggregation first; a shingle of a third of all messages meets in one row a map task
-    earliest = uses.groupBy("shingle").agg(F.min(F.struct("at", "doc", "pos")).alias("e"), F.count("*").alias("n")).where(F.col("n") > 1)
-    earliest = earliest.select("shingle", F.col("e.at").alias("e_at"), F.col("e.doc").alias("src_doc"), F.col("e.pos").alias("src"))
-    hits = uses.join(earliest, "shingle").where((F.col("doc") != F.col("src_doc")) & (F.col("e_at") < F.col("at")))
+    first = uses.groupBy("shingle").agg(F.min(F.struct("at", "depth", "doc", "pos")).alias("e"), F.count("*").alias("n")).where(F.col("n") > 1)
+    first = first.select("shingle", F.col("e.at").alias("e_at"), F.col("e.depth").alias("e_depth"), F.col("e.doc").alias("src_doc"), F.col("e.pos").alias("src"))
+    later = (F.col("e_at") < F.col("at")) | ((F.col("e_at") == F.col("at")) & (F.col("e_depth") < F.col("depth")))
+    hits = uses.join(first, "shingle").where((F.col("doc") != F.col("src_doc")) & later)
     found = hits.groupBy("doc").agg(F.collect_list(F.struct("pos", F.col("src_doc").alias("doc"), "src")).alias("found"))
+    aligned = materialise(emails.join(found, "doc", "left").select("name", "doc", "text", "found"), "mail-aligned")
+
+    # what stands above inherited spans, and how often its wording does
+    above = materialise(aligned.select("doc", "text", "found").mapInArrow(_head_rows, "doc long, line int, wording long, below boolean"), "mail-heads")
+    counts = above.groupBy("wording").agg(F.count_if("below").alias("n"), F.count("*").alias("all"))
+    known = counts.where((F.col("n") >= LEAST_ABOVE) & (F.col("n") >= F.col("all") * SHARE_ABOVE)).select("wording")
+    learnt = above.where(~F.col("below")).join(known, "wording", "left_semi").groupBy("doc").agg(F.collect_set("line").alias("known"))
     kind = "name string, text string" if with_text else "name string, line_no long"
-    return emails.join(found, "doc", "left").select("name", "text", "found").mapInArrow(_line_rows(with_text), kind)
+    out = aligned.join(learnt, "doc", "left").select("name", "text", "found", "known").mapInArrow(_line_rows(with_text), kind)
+    return out.unionByName(empty.select("name", "text")) if with_text else out
 
 
 def unwritten_lines(artifact_text: DataFrame, doc_meta: DataFrame) -> DataFrame:
@@ -497,5 +601,5 @@ def unwritten_lines(artifact_text: DataFrame, doc_meta: DataFrame) -> DataFrame:
 
 
 def written_text(artifact_text: DataFrame, doc_meta: DataFrame) -> DataFrame:
-    """(name, text) of emails, reduced to what their sender newly wrote."""
+    """(name, text) of emails, reduced to what their sender newly wrote; a null text stays null."""
     return _classified(artifact_text, doc_meta, True).distinct()

@@ -3,10 +3,13 @@
 Mail addresses, phone numbers, identity numbers and postal addresses are found
 by their form and the words before them. Names are found by how strongly terms
 reveal a person: over the whole corpus, each capitalised term's co-occurrence
-with protected contexts (after a title or a given name) is counted, and from the
-counts follows its disclosure, the pointwise mutual information between the term
-and a person being named. Terms over the thresholds make a run of capitalised
-words a name; what is found is replaced by placeholders, all else stays.
+with protected contexts (after a title or a given name of the seed list) is
+counted, and from the counts follows its disclosure, the pointwise mutual
+information between the term and a person being named. A term that mostly stands
+right before disclosing ones, of several kinds, is learnt as a given name, so
+the seed list need not hold it. Every run of capitalised words with a title, a
+given name or a term over the thresholds is judged; what is found is replaced by
+placeholders, all else stays.
 
 Defined cases: null and empty texts have no spans and come out as they are;
 where forms overlap, the earlier of mail address, identity number, postal
@@ -31,8 +34,12 @@ from ..session import materialise
 LEAST_SHARE, BESIDE_SHARE = 0.1, 0.008
 #: Information (bits) below which a term reveals nobody by itself.
 LEAST_BITS = 0.5
+#: A term is a given name if this share of its places is before disclosing terms, of so many kinds at least.
+GIVEN_SHARE, GIVEN_KINDS = 0.4, 4
+#: A term that stands before given names so often, against its places before disclosing terms, addresses people instead.
+ADDRESS_SHARE = 0.1
 
-# Titles and common given names of the four languages.
+# Titles, and common given names of the four languages as a seed.
 TITLES = "mr mrs ms miss dr prof hon sir herr herrn frau mme madame monsieur mlle sr sra srta señor señora don doña d.ª".split()
 GIVEN = """
 abigail albert alexander alice andrew ann anna anne anthony arthur barbara benjamin brian carol catherine charles christine christopher claire daniel david deborah
@@ -59,8 +66,8 @@ _DOT_WORD = re.compile(r"\bdot\b|\bDOT\b|\bpunkt\b|\bpunto\b|\bpoint\b")
 _LOCAL = re.compile(rf"[\w+-]+(?:{_DOT}[\w+-]+)*$", re.IGNORECASE)
 _MAIL_LOCAL = re.compile(r"(?<![\w.+-])[\w+-][\w.+-]*$")
 _MAIL_DOMAIN = re.compile(r"(?:[\w-]+\.)+[A-Za-z]{2,}")
-#: Five digits or more, near which numbers and postal codes are looked for.
-_DIGITS_AT = re.compile(r"\d(?:[\s().+/-]{0,2}\d){4,}")
+#: Five digits or more, no more than three signs apart: every form of a number holds such a stretch, and begins at most 6 letters before one.
+_DIGITS_AT = re.compile(r"\d(?:[\s().+/-]{0,3}\d){4,}")
 
 _EXT = r"(?:,?\s+(?:ext\.?|extension|x|Durchwahl|poste|extensión)\s?\d{1,5}|,?\s?x\d{1,5})?"
 _NANP = re.compile(r"(?<![\w.+/-])(?<!\d\s)(?:\+?1[\s.-])?(?:\(\d{3}\)\s?|\d{3}[\s.-])\d{3}[\s.-]\d{4}(?![\w-]*\d)" + _EXT)
@@ -122,8 +129,12 @@ def _cut_to(number: str, most: int) -> str:
     return number[:end]
 
 
-def number_spans(text: str) -> list[tuple[int, int, str]]:
-    """Spans of mail addresses, identity numbers, postal addresses and phone numbers; none overlap."""
+def number_spans(text: str, windowed: bool = True) -> list[tuple[int, int, str]]:
+    """Spans of mail addresses, identity numbers, postal addresses and phone numbers; none overlap.
+
+    Numbers are looked for around stretches of digits only (``windowed``), which
+    changes nothing but the time.
+    """
     found: list[tuple[int, int, str]] = []
 
     def add(a: int, b: int, kind: str) -> None:
@@ -143,8 +154,8 @@ def number_spans(text: str) -> list[tuple[int, int, str]]:
                 local = _LOCAL.search(text, max(0, m.start() - 120), m.start())
                 if local:
                     add(local.start(), d.end(), "email")
-    windows: list[list[int]] = []
-    for m in _DIGITS_AT.finditer(text):
+    windows: list[list[int]] = [] if windowed else [[0, len(text)]]
+    for m in _DIGITS_AT.finditer(text) if windowed else ():
         a, b = max(0, m.start() - 6), min(len(text), m.end() + 30)
         if windows and a <= windows[-1][1]:
             windows[-1][1] = b
@@ -158,16 +169,10 @@ def number_spans(text: str) -> list[tuple[int, int, str]]:
             if re.fullmatch(r"\d{3}-?\d{2}-?\d{4}|\d+|[a-z]{2}-?\d{7}", m[0]) and not _ID_CUE.search(before) and not re.fullmatch(r"\d{3}-\d{2}-\d{4}", m[0]):
                 continue
             add(m.start(), m.end(), "id_number")
-    done = 0
-    for code in _ADDRESS_AT.finditer(text):
-        # every form ends with a postal code and a town; its beginning is looked for before them
-        a, b = max(done, code.start() - 130), min(len(text), code.end() + 40)
+    if not windowed or _ADDRESS_AT.search(text):  # every form ends with a postal code and a town
         for form in _ADDRESSES:
-            for m in form.finditer(text, a, b):
-                if m.end() > code.start():
-                    end = form.match(text, m.start()).end()  # the window may have cut the town
-                    add(m.start(), end, "address")
-                    done = max(done, end)
+            for m in form.finditer(text):
+                add(m.start(), m.end(), "address")
     for a, b in windows:
         for m in _ABROAD.finditer(text, a, b):
             s = m[0]
@@ -233,12 +238,12 @@ def _is_candidate(text: str, tokens: list[tuple[str, int, int]]) -> bool:
     return any("." in t for t, _, _ in tokens[:-1])
 
 
-def name_spans(tokens: list[str], starts: list[int], ends: list[int], commas: list[bool], shares: dict[str, float]) -> list[tuple[int, int]]:
-    """Names in a run of capitalised words; ``shares`` holds the words that reveal a person."""
+def name_spans(tokens: list[str], starts: list[int], ends: list[int], commas: list[bool], shares: dict[str, float], learnt: set[str] | frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """Names in a run of capitalised words; ``shares`` holds the words that reveal a person, ``learnt`` given names besides the seeds."""
     low = [_SUFFIX.sub("", t).lower().rstrip(".") for t in tokens]
     n = len(tokens)
     initial = ["." in t or len(t) == 1 for t in tokens]
-    given = [x in _GIVEN or all(p in _GIVEN for p in x.split("-")) for x in low]
+    given = [x in _GIVEN or x in learnt or all(p in _GIVEN or p in learnt for p in x.split("-")) for x in low]
     title = [x in _TITLES and not initial[i] for i, x in enumerate(low)]
     share = [0.0 if initial[i] or low[i] in _ORG else max((shares.get(p, 0.0) for p in _parts(t)), default=0.0) for i, t in enumerate(tokens)]
     sure = [x >= LEAST_SHARE for x in share]
@@ -300,13 +305,13 @@ def name_spans(tokens: list[str], starts: list[int], ends: list[int], commas: li
     return out
 
 
-_KINDS = "kind string, doc_id long, pii_type string, start_pos int, end_pos int, tokens array<string>, starts array<int>, ends array<int>, commas array<boolean>, term string, n long, c long"
+_KINDS = "kind string, doc_id long, pii_type string, start_pos int, end_pos int, tokens array<string>, starts array<int>, ends array<int>, commas array<boolean>, term string, beside string, n long, c long"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One pass over the texts: spans by form, candidate runs, and counts of terms, added up in each batch."""
     names = [x.split()[0] for x in _KINDS.split(", ")]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.string(), pa.int64(), pa.int64()]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.string(), pa.string(), pa.int64(), pa.int64()]
     for batch in batches:
         columns: list[list] = [[] for _ in names]
 
@@ -317,10 +322,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         single: Counter = Counter()
         protected: Counter = Counter()
+        pairs: Counter = Counter()
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             spans = number_spans(text)
             for a, b, kind in spans:
-                row("span", doc, kind, a, b, None, None, None, None, None, None, None)
+                row("span", doc, kind, a, b, None, None, None, None, None, None, None, None)
             for tokens in runs(text, single):
                 if len(tokens) == 1:
                     single[tokens[0][0]] += 1
@@ -330,25 +336,35 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     single[t] += len(tokens) > 1
                     if near:
                         protected.update(_parts(t))
-                if _is_candidate(text, tokens):
+                for x, y in zip(tokens, tokens[1:], strict=False):
+                    if len(x[0]) > 2 < len(y[0]) and "," not in text[x[2] : y[1]]:
+                        pairs[x[0], y[0]] += 1
+                known = _is_candidate(text, tokens)
+                if known or len(tokens) > 1:
                     a, b = tokens[0][1], tokens[-1][2]
                     free = [t for t in tokens if all(t[2] <= x or t[1] >= y for x, y, _ in spans if x < b and y > a)]
                     if free:
                         commas = ["," in text[x[2] : y[1]] for x, y in zip(free, free[1:], strict=False)] + [False]
-                        row("run", doc, None, None, None, [t for t, _, _ in free], [x for _, x, _ in free], [x for _, _, x in free], commas, None, None, None)
+                        row("run" if known else "open", doc, None, None, None, [t for t, _, _ in free], [x for _, x, _ in free], [x for _, _, x in free], commas, None, None, None, None)
         for word, count in single.items():
             for p in _parts(word):
                 seen[p] += count
         for term, count in seen.items():
-            row("term", None, None, None, None, None, None, None, None, term, count, protected[term])
+            row("term", None, None, None, None, None, None, None, None, term, None, count, protected[term])
+        before: Counter = Counter()
+        for (x, y), count in pairs.items():
+            for p in _parts(y):
+                before[_SUFFIX.sub("", x).lower(), p] += count
+        for (x, y), count in before.items():
+            row("pair", None, None, None, None, None, None, None, None, x, y, count, None)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, a_pos, b_pos = [], [], []
-        for doc, tokens, starts, ends, commas, shares in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for a, b in name_spans(tokens, starts, ends, commas, dict(shares or {})):
+        for doc, tokens, starts, ends, commas, shares, learnt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, b in name_spans(tokens, starts, ends, commas, dict(shares or {}), set(learnt or ())):
                 docs.append(doc)
                 a_pos.append(a)
                 b_pos.append(b)
@@ -370,20 +386,37 @@ def disclosing_terms(terms: DataFrame) -> DataFrame:
     return total.where(F.col("c") > 0).select("term", capped.alias("share"), bits.alias("bits")).where(F.col("share") >= BESIDE_SHARE)
 
 
+def given_names(pairs: DataFrame, terms: DataFrame, strong: DataFrame) -> DataFrame:
+    """(term) that mostly stand right before disclosing terms of several kinds, from (term, beside, n) and (term, n) counts."""
+    sure = strong.where(F.col("share") >= LEAST_SHARE).select(F.col("term").alias("beside"))
+    pairs = pairs.groupBy("term", "beside").agg(F.sum("n").alias("n"))
+    before = pairs.join(sure, "beside").groupBy("term").agg(F.sum("n").alias("before"), F.count("*").alias("kinds"))
+    # what addresses people ("Dear") stands before given names as well
+    address = pairs.where(F.col("beside").isin(*GIVEN)).groupBy("term").agg(F.sum("n").alias("address"))
+    before = before.join(address, "term", "left").where(F.coalesce("address", F.lit(0)) <= F.col("before") * ADDRESS_SHARE)
+    total = terms.groupBy("term").agg(F.sum("n").alias("all"))
+    named = before.where((F.col("kinds") >= GIVEN_KINDS) & ~F.col("term").isin(*TITLES, *ORGANISATION)).join(total, "term").where(F.col("before") >= F.col("all") * GIVEN_SHARE)
+    return named.select("term")
+
+
 def find(documents: DataFrame) -> DataFrame:
     """(doc_id, pii_type, start_pos, end_pos) of the personal information in ``text``."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0)
     scanned = materialise(texts.mapInArrow(_scan, _KINDS), "pii-scan")
     spans = scanned.where("kind = 'span'").select("doc_id", "pii_type", F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos"))
-    strong = disclosing_terms(scanned.where("kind = 'term'").select("term", "n", "c")).select("term", "share")
+    terms = scanned.where("kind = 'term'").select("term", "n", "c")
+    strong = materialise(disclosing_terms(terms).select("term", "share"), "pii-terms")
+    learnt = given_names(scanned.where("kind = 'pair'").select("term", "beside", "n"), terms, strong)
+    told = strong.join(learnt.withColumn("given", F.lit(True)), "term", "full").select("term", "share", F.coalesce("given", F.lit(False)).alias("given"))
 
-    candidates = scanned.where("kind = 'run'").select("doc_id", "tokens", "starts", "ends", "commas").distinct()
+    candidates = scanned.where("kind IN ('run', 'open')").select("kind", "doc_id", "tokens", "starts", "ends", "commas").distinct()
     words = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.split(F.regexp_replace(F.lower(t), "['’]s?$", ""), "-"))))
     used = candidates.select("doc_id", F.col("starts").alias("run"), F.explode(words).alias("term"))
-    # the strong terms are unique, so a hot word multiplies nothing; AQE splits its rows
-    shares = used.join(strong, "term").groupBy("doc_id", "run").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares"))
-    decided = candidates.withColumnRenamed("starts", "run").join(shares, ["doc_id", "run"], "left").select("doc_id", "tokens", "run", "ends", "commas", "shares")
-    persons = decided.mapInArrow(_decide, "doc_id long, pii_type string, start_pos long, end_pos long")
+    # the terms are unique, so a hot word multiplies nothing; AQE splits its rows
+    known = F.collect_set(F.when(F.col("share").isNotNull(), F.struct("term", "share")))
+    found = used.join(told, "term").groupBy("doc_id", "run").agg(F.map_from_entries(known).alias("shares"), F.collect_set(F.when(F.col("given"), F.col("term"))).alias("learnt"))
+    joined = candidates.withColumnRenamed("starts", "run").join(found, ["doc_id", "run"], "left").where((F.col("kind") == "run") | F.col("shares").isNotNull())
+    persons = joined.select("doc_id", "tokens", "run", "ends", "commas", "shares", "learnt").mapInArrow(_decide, "doc_id long, pii_type string, start_pos long, end_pos long")
     return spans.unionByName(persons).distinct()
 
 

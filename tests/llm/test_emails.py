@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from dossierkit.llm.emails import inherited_words, not_written, read_lines, unwritten_lines, written_text
@@ -47,5 +49,42 @@ def test_inherited_lines_of_a_conversation(spark):
     n = len(read_lines(a.where("name = 'b.ocr'").first()["text"]))
     assert got == {"a.ocr": {4, 5}, "b.ocr": set(range(3, n + 1)), "c.ocr": {3, 4}}
     text = {r["name"]: r["text"] for r in written_text(a, m).collect()}
-    assert text["a.ocr"] == BODY and text["b.ocr"] == REPLY and set(text) == {"a.ocr", "b.ocr", "c.ocr", "d.ocr"}
+    assert text["a.ocr"] == BODY and text["b.ocr"] == REPLY and set(text) == {"a.ocr", "b.ocr", "c.ocr", "d.ocr", "e.ocr"} and text["e.ocr"] is None
     assert unwritten_lines(a.limit(0), m).count() == 0
+
+
+def test_unseen_introductions_are_learnt(spark):
+    """Wordings that no list holds: told by what stands below them, and then known where the quoted message is missing."""
+    facts = [f"{a} {b} reports that the {c} was moved to the {d} before the auditors could see any of it, which nobody had planned for" for a, b, c, d in
+             [("Nearly", "everyone", "archive", "cellar"), ("Only", "Carver", "ledger", "attic"), ("Surely", "accounting", "printer", "garage"), ("Perhaps", "Golbeck", "pallet", "harbour"), ("Finally", "legal", "folder", "kitchen")]]
+    rows, meta = [], []
+    for i, f in enumerate(facts):
+        rows += [(f"a{i}", f"a{i}.ocr", f), (f"b{i}", f"b{i}.ocr", f"{REPLY}\n\nHereunder the words of Person{chr(65 + i)} Smith of 1{i} May\n{f}")]
+        meta += [(f"a{i}", "2020-01-01T00:00:00Z", f"t{i}"), (f"b{i}", "2020-01-02T00:00:00Z", f"t{i}")]
+    lone = f"{REPLY}\n\nHereunder the words of Ann Smith of 7 June\nWe never got the figures of the harbour office."
+    rows.append(("c", "c.ocr", lone))
+    meta.append(("c", "2020-01-03T00:00:00Z", "other"))
+    a = spark.createDataFrame(rows, "id string, name string, text string")
+    m = spark.createDataFrame(meta, "id string, ddmudate string, conversation string").selectExpr("*", "cast(null as string) as date_sent", "timestamp '2020-02-01' as ingested_at")
+    got = {}
+    for r in unwritten_lines(a, m).collect():
+        got.setdefault(r["name"], set()).add(r["line_no"])
+    assert got == {**{f"b{i}.ocr": {3, 4} for i in range(5)}, "c.ocr": {3, 4}}
+
+
+def test_equal_times_are_told_by_the_depth_of_quotes(spark):
+    rows = [("a", "a.ocr", BODY), ("b", "b.ocr", f"{REPLY}\n\n" + "\n".join(f"> {x}" for x in BODY.split("\n"))), ("c", "c.ocr", f"Fine by me, as I told you on the phone this week.\n{BODY}\nAnd one more thing that I would like to say here.")]
+    a = spark.createDataFrame(rows, "id string, name string, text string")
+    m = spark.createDataFrame([(k, "t") for k in "abc"], "id string, conversation string").selectExpr("*", "cast(null as string) as ddmudate", "cast(null as string) as date_sent", "timestamp '2020-02-01' as ingested_at")
+    got = {}
+    for r in unwritten_lines(a, m).collect():
+        got.setdefault(r["name"], set()).add(r["line_no"])
+    assert "a.ocr" not in got and got["b.ocr"] == {3, 4}
+
+
+def test_long_lines_take_no_time():
+    began = time.time()
+    for text in ("regards " + "a" * 50_000 + "!", "-" * 50_000 + "x", "1" + " " * 50_000 + "x", "Quoting (" + "1" * 50_000, "wrote " * 20_000 + ":x", "To: " + "Ann Lee, " * 9000 + "\nFrom: x\n\ntext"):
+        not_written(text)
+    assert time.time() - began < 5
+    assert not_written("To: " + "Ann Lee, " * 200 + "\nFrom: Bob\n\nthe old text") == [1, 2, 4]

@@ -1,3 +1,6 @@
+import random
+
+from dossierkit.llm import pii
 from dossierkit.llm.pii import find, number_spans, redact
 
 FORMS = [
@@ -23,6 +26,29 @@ def test_forms():
     assert [k for _, _, k in number_spans("SSN 960256038 and part 960256038")] == ["id_number"]
 
 
+def test_windows_lose_no_number():
+    rnd = random.Random(5)
+    pieces = ["+44 ", "(0)", "(334)", ")-(", "555", "-0188", " ext. 12", "QQ 11", " 57 97 C", "zx-3614000", "9 77 13 98 4B7 752 74", "00/292/609/959", ", ", "SSN ", "Calle Copper 61, 00423 Rosden", "word ", ".", "7", "12", "\n",
+              "3005 Alder Road, Jarnor, ZZ 00162", "0049/30/", "23125608", "+1 (588)-(555)-0147 x 77", "ann@b.test", "Ident. 12345678901"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 14)))
+        assert number_spans(text) == number_spans(text, windowed=False), text
+
+
+def test_given_names_are_learnt(spark):
+    """Given names outside the seed list, found from how they stand before the surnames that titles tell of."""
+    people = ["Golane", "Marnor", "Carholt", "Velkin", "Dorett", "Tamsin"]
+    unlisted = ["Priyanka", "Oluwaseun", "Zbigniew"]
+    assert not {x.lower() for x in unlisted} & pii._GIVEN
+    texts = [f"Please copy Ms. {p} on it. James {p} agreed." for p in people * 3]
+    texts += [f"The draft by {g} {p} is on file." for g in unlisted for p in people]
+    texts += [f"Dear Mr. {p}, all is well. Dear James {p}, all is well. Dear {p}, thanks." for p in people]
+    texts += [f"The {w} Office reported it. {w} Pharma paid." for w in ("Quarterly", "Regional", "Northern") for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(texts[r["doc_id"]][r["start_pos"] : r["end_pos"]]) for r in find(df).collect()}
+    assert got == {*people, *(f"James {p}" for p in people), *(f"{g} {p}" for g in unlisted for p in people)}
+
+
 def test_names_and_placeholders(spark):
     people = ["Dorett", "Marnor", "Carholt", "Velkin"]
     base = [f"Please copy Ms. {p} on it. The draft by James {p} is on file. A parcel came from Golley." for p in people * 3]
