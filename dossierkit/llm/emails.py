@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import bloom
 from ..session import materialise
 
 #: Lines of an introduction, at most.
@@ -540,15 +541,41 @@ def _spans(text: str, found: list[dict] | None) -> np.ndarray | None:
     return inherited_words(lines[-1].first + lines[-1].words, *(np.array([x[i] for x in hits]) for i in range(3)))
 
 
-def _head_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[list] = [[], [], [], []]
-        for m, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for i, words, below in heads(read_lines(text), _spans(text, found)):
-                for column, value in zip(rows, (m, i, words, below), strict=True):
+_FOUND = "array<struct<pos: int, doc: long, src: int>>"
+_PASS = f"kind string, name string, doc long, line int, wording long, below boolean, text string, found {_FOUND}"
+
+
+def _first_pass(with_text: bool):
+    """Each message's lines that are not its sender's (``gone``), what may head something (``head``), and the message itself if such a line has no inherited span below (``open``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(6)]
+            opened: list[int] = []
+
+            def row(*values) -> None:  # noqa: ANN002
+                for column, value in zip(rows, values, strict=True):  # noqa: B023
                     column.append(value)
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc", "line", "wording", "below"])
+
+            for at, (name, doc, text, found) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                inherited = _spans(text, found)
+                may = heads(read_lines(text), inherited)
+                for i, words, below in may:
+                    row("head", None, doc, i, words, below)
+                if with_text or not all(below for *_, below in may):
+                    opened.append(at)
+                if not with_text:
+                    for i in not_written(text, inherited):
+                        row("gone", name, doc, i, None, None)
+            n = len(rows[0])
+            take = pa.array([None] * n + opened, pa.int64())
+            for at in opened:
+                row("open", batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), None, None, None)
+            types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+            columns = [pa.array(c, t) for c, t in zip(rows, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(2).take(take), batch.column(3).take(take)], ["kind", "name", "doc", "line", "wording", "below", "text", "found"])
+
+    return run
 
 
 def _line_rows(with_text: bool):
@@ -573,7 +600,11 @@ def _line_rows(with_text: bool):
 
 def _classified(artifact_text: DataFrame, doc_meta: DataFrame, with_text: bool) -> DataFrame:
     sent = doc_meta.where(F.col("conversation").isNotNull()).groupBy("id").agg(F.min("conversation").alias("conversation"), F.min(_time_of()).alias("at"))
-    emails = artifact_text.select("id", "name", "text").join(sent, "id").select("name", F.xxhash64("name").alias("doc"), "at", "conversation", "text")
+    sent = materialise(sent, "mail-sent")
+    # only the texts of emails move: a Bloom filter of bounded size holds the others back at the scan
+    n_blocks = bloom.blocks_for(sent.count())
+    texts = bloom.probe(artifact_text.select("id", "name", "text"), "id", bloom.build(sent, "id", n_blocks), n_blocks, "mail").where("mail").drop("mail")
+    emails = texts.join(sent, "id").select("name", F.xxhash64("name").alias("doc"), "at", "conversation", "text")
     emails, empty = emails.where(F.col("text").isNotNull()), emails.where(F.col("text").isNull())
     kind = "shingle long, at long, depth short, doc long, pos int"
     uses = materialise(emails.select("doc", "at", "conversation", "text").mapInArrow(_shingle_rows, kind), "mail-shingles")
@@ -583,16 +614,22 @@ def _classified(artifact_text: DataFrame, doc_meta: DataFrame, with_text: bool)
     later = (F.col("e_at") < F.col("at")) | ((F.col("e_at") == F.col("at")) & (F.col("e_depth") < F.col("depth")))
     hits = uses.join(first, "shingle").where((F.col("doc") != F.col("src_doc")) & later)
     found = hits.groupBy("doc").agg(F.collect_list(F.struct("pos", F.col("src_doc").alias("doc"), "src")).alias("found"))
-    aligned = materialise(emails.join(found, "doc", "left").select("name", "doc", "text", "found"), "mail-aligned")
+    passed = emails.select("name", "doc", "text").join(found, "doc", "left").select("name", "doc", "text", "found")
+    passed = materialise(passed.mapInArrow(_first_pass(with_text), _PASS), "mail-lines")
 
     # what stands above inherited spans, and how often its wording does
-    above = materialise(aligned.select("doc", "text", "found").mapInArrow(_head_rows, "doc long, line int, wording long, below boolean"), "mail-heads")
+    above = passed.where("kind = 'head'").select("doc", "line", "wording", "below")
     counts = above.groupBy("wording").agg(F.count_if("below").alias("n"), F.count("*").alias("all"))
     known = counts.where((F.col("n") >= LEAST_ABOVE) & (F.col("n") >= F.col("all") * SHARE_ABOVE)).select("wording")
     learnt = above.where(~F.col("below")).join(known, "wording", "left_semi").groupBy("doc").agg(F.collect_set("line").alias("known"))
-    kind = "name string, text string" if with_text else "name string, line_no long"
-    out = aligned.join(learnt, "doc", "left").select("name", "text", "found", "known").mapInArrow(_line_rows(with_text), kind)
-    return out.unionByName(empty.select("name", "text")) if with_text else out
+    again = passed.where("kind = 'open'").select("name", "doc", "text", "found")
+    if with_text:
+        out = again.join(learnt, "doc", "left").select("name", "text", "found", "known").mapInArrow(_line_rows(True), "name string, text string")
+        return out.unionByName(empty.select("name", "text"))
+    # the few messages with lines of learnt wordings are gone through again
+    out = again.join(learnt, "doc").select("name", "text", "found", "known").mapInArrow(_line_rows(False), "name string, line_no long")
+    rest = passed.where("kind = 'gone'").join(learnt.select("doc"), "doc", "left_anti")
+    return out.unionByName(rest.select("name", F.col("line").cast("long").alias("line_no")))
 
 
 def unwritten_lines(artifact_text: DataFrame, doc_meta: DataFrame) -> DataFrame:

@@ -2,16 +2,20 @@
 
 Every distinct spelling becomes a vector of weighted character n-grams of its
 parts (titles, mail addresses and house names put aside, nicknames spelled
-out). A sparse join over the n-grams finds the registry entries of greatest
-cosine; of these, those remain that a comparison part by part finds compatible.
-Spellings with one compatible party form that party's cluster, and a spelling
-that several parties could mean goes to the cluster of greatest average linkage.
-
-Defined cases: null, empty and blank elements, and those of more than ``LONGEST``
-letters, are not names; a spelling that no
-registry entry is compatible with means none; an exact tie of clusters goes to
-the smaller party_id; exact duplicate rows and repeated elements count once; an
-empty registry links nothing; further columns are ignored.
+out). A sparse similarity join, block by block against the registry, finds every
+entry of at least ``LEAST_COSINE``, however many; of these, those remain that a
+comparison part by part finds compatible. Short forms of given names are a seed
+list, and those that spellings with a mail address show for its owner are learnt
+besides. Spellings with one compatible party form that party's cluster; a
+spelling that several parties could mean goes to the cluster of greatest average
+linkage, and one whose linkage with its cluster is under ``LEAST_LINKAGE`` to
+none.
+
+Defined cases: null, empty and blank elements are not names; names of any length
+are compared; a spelling that no registry entry is compatible with means none;
+an exact tie of clusters goes to the smaller party_id; exact duplicate rows and
+repeated elements count once; an empty registry links nothing; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -21,17 +25,20 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: Registry entries of greatest cosine that are compared part by part, and the least cosine.
-NEAREST, LEAST_COSINE = 16, 0.01
-
-#: Letters beyond which an element is no name.
-LONGEST = 1000
+#: Least cosine of a spelling with a registry entry, and with the members of its cluster on average.
+LEAST_COSINE, LEAST_LINKAGE = 0.08, 0.08
+#: Dimensions that n-grams are hashed to (their weights are 1 MB), registry entries of a block, and spellings of a block.
+DIMENSIONS, ENTRIES, SPELLINGS = 1 << 18, 2048, 512
+#: Spellings that must show a short form of a given name.
+LEAST_SHOWN = 2
 
 # Titles, degrees, legal forms, and given names with their usual short forms.
 TITLES = "dr prof hon mr mrs ms miss sir dame herr frau mme mlle professor doctor".split()
@@ -73,9 +80,9 @@ for _s, _names in _FORMAL.items():
         _SHORT.setdefault(_name, set()).add(_s)
 
 _TITLE = re.compile(rf"^(?:(?:{'|'.join(TITLES)})\b\.?\s*)+")
-_DEGREE = re.compile(rf"[\s,]+(?:{'|'.join(DEGREES)})\b\.?\s*$")
+_DEGREE = re.compile(rf"(?<![\s,])[\s,]+(?:{'|'.join(DEGREES)})\b\.?\s*$")
 _BRACKET = re.compile(r"[(\[]([^)\]]*)[)\]]")
-_MAIL = re.compile(r"<?([\w.+'-]+)@([\w.-]+\w)>?")
+_MAIL = re.compile(r"<?(?<![\w.+'-])([\w.+'-]+)@([\w.-]+\w)>?")
 _PART = re.compile(r"[^\W\d_]+")
 
 
@@ -90,8 +97,6 @@ class Written:
 
 
 def parse(written: str) -> Written:
-    if len(written) > LONGEST:
-        return Written((), False, "", None)
     s = plain(written).strip()
     mail, house = None, ""
     m = _MAIL.search(s)
@@ -119,21 +124,32 @@ def parse(written: str) -> Written:
 
 
 def grams(parts: tuple[str, ...]) -> list[str]:
-    """Character trigrams of the parts and their first letter with the last; short forms also as the names they stand for.
-
-    Initials alone have none: they would join every name with a tenth of the registry.
-    """
+    """Character trigrams of the parts, their first letters, and those with the last; short forms also as the names they stand for."""
     out = []
     for p in parts:
         if p in LEGAL:
             continue
         for q in {p, *_FORMAL.get(p, ())}:
-            out += [f"{q[0]}..{q[-1]}"] if len(q) > 1 else []
-            padded = f"^{q}$"
-            out += [padded[i : i + 3] for i in range(len(padded) - 2)] if len(q) > 1 else []
+            out.append(f"{q[0]}.")
+            if len(q) > 1:
+                padded = f"^{q}$"
+                out += [f"{q[0]}..{q[-1]}", *(padded[i : i + 3] for i in range(len(padded) - 2))]
     return out
 
 
+def counted(written: str) -> tuple[np.ndarray, np.ndarray]:
+    """(dimensions, counts) of a spelling's n-grams."""
+    at = np.array([xxhash.xxh32_intdigest(g) % DIMENSIONS for g in grams(parse(written).parts)], np.int64)
+    return np.unique(at, return_counts=True)
+
+
+def vector(written: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dimensions, weights) of a spelling, of length 1."""
+    at, n = counted(written)
+    w = np.sqrt(n) * idf[at]
+    return at, w / (np.sqrt((w * w).sum()) or 1.0)
+
+
 def edits(a: str, b: str) -> int:
     """Edit distance with neighbour swaps; 9 where it is over 2 for sure."""
     if a == b:
@@ -151,11 +167,11 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def _given(written: str, given: str) -> int:
+def _given(written: str, given: str, shown: tuple[str, ...] = ()) -> int:
     """Edits between a written given name or initial and a registered one; 9 if they differ."""
     if len(written) == 1:
         return 0 if written == given[0] else 9
-    forms = {given, *_SHORT.get(given, ())}
+    forms = {given, *_SHORT.get(given, ()), *shown}
     if written in forms:
         return 0
     best = min(edits(written, f) for f in forms if len(f) > 2 or f == given)
@@ -163,8 +179,8 @@ def _given(written: str, given: str) -> int:
     return best if best <= 1 and written not in _FORMAL and written not in _SHORT else 9
 
 
-def person_edits(w: Written, name: str, domain: str, org: str) -> int:
-    """Edits by which a spelling departs from a registered person; 9 if it doesn't mean them."""
+def person_edits(w: Written, name: str, domain: str, org: str, shown: tuple[str, ...] = ()) -> int:
+    """Edits by which a spelling departs from a registered person; 9 if it doesn't mean them. ``shown`` holds learnt short forms of the given name."""
     given, *middle, last = _PART.findall(plain(name))
     if w.mail:
         local = tuple(_PART.findall(w.mail[0]))
@@ -184,7 +200,7 @@ def person_edits(w: Written, name: str, domain: str, org: str) -> int:
         s = edits(surname, last)
         if s > 1 or len(first) > 3:
             continue
-        g = _given(first[0], given)
+        g = _given(first[0], given, shown)
         if g + s > 1:
             continue
         inner = [x for x in first[1:] if x not in DEGREES]
@@ -227,78 +243,140 @@ def organisation_edits(w: Written, name: str, domain: str) -> int:
     return total
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dimension_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names, out = [], []
-        for k in batch.column(0).to_pylist():
-            g = grams(parse(k).parts)
-            names += [k] * len(g)
-            out += g
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], ["written", "gram"])
+        found = [counted(k)[0] for k in batch.column(0).to_pylist()]
+        at, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], ["at", "n"])
 
 
-def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        parts = [names[i : i + SPELLINGS] for i in range(0, len(names), SPELLINGS)]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.list_(pa.string()))], ["spellings"])
+
+
+class _Entries:
+    """A block of the registry: its entries by the dimensions of their vectors."""
+
+    def __init__(self, entries: list[dict], idf: np.ndarray) -> None:
+        self.entries = entries
+        of: dict[int, list] = {}
+        for i, e in enumerate(entries):
+            for d, w in zip(*vector(e["party_name"], idf), strict=True):
+                of.setdefault(int(d), []).append((i, w))
+        self.of = {d: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for d, x in of.items()}
+
+    def near(self, at: np.ndarray, w: np.ndarray) -> Iterator[tuple[dict, float]]:
+        cosine = np.zeros(len(self.entries))
+        for d, x in zip(at.tolist(), w.tolist(), strict=True):
+            found = self.of.get(d)
+            if found is not None:
+                cosine[found[0]] += x * found[1]
+        for i in np.flatnonzero(cosine >= LEAST_COSINE):
+            yield self.entries[i], float(cosine[i])
+
+
+def _match(idf):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, block, known = idf.value, None, None
+        for batch in batches:
+            rows: list[list] = [[], [], [], []]
+            for spellings, number, entries in zip(*batch.columns, strict=True):
+                if number.as_py() != block:
+                    block, known = number.as_py(), _Entries(entries.as_py(), weights)
+                for written in spellings.as_py():
+                    w = parse(written)
+                    for e, cosine in known.near(*vector(written, weights)):
+                        if e["party_kind"] == "person":
+                            d = person_edits(w, e["party_name"], e["mail_domain"] or "", e["org"] or "", tuple(e["shown"] or ()))
+                        else:
+                            d = organisation_edits(w, e["party_name"], e["mail_domain"] or "")
+                        if d < 9:
+                            for column, value in zip(rows, (written, e["party_id"], cosine, d), strict=True):
+                                column.append(value)
+            types = [pa.string(), pa.int64(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["written", "party_id", "cosine", "edits"])
+
+    return run
+
+
+def _weight_rows(idf):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [vector(k, idf.value) for k in batch.column(0).to_pylist()]
+            ends = pa.array(np.cumsum([0, *(len(a) for a, _ in found)]), pa.int32())
+            flat = [np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in range(2)]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in zip(flat, (pa.int32(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["written", "at", "w"])
+
+    return run
+
+
+def _shown_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands before a surname in spellings with a mail address of given name, dot and surname."""
     for batch in batches:
-        out = []
-        parsed: dict[str, Written] = {}
-        for written, name, kind, domain, org in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
-            w = parsed.get(written)
-            if w is None:
-                w = parsed[written] = parse(written)
-            if kind == "person":
-                out.append(person_edits(w, name, domain or "", org or ""))
-            else:
-                out.append(organisation_edits(w, name, domain or ""))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(6), pa.array(out, pa.int32())], ["written", "party_id", "cosine", "edits"])
-
-
-def _weighted(names: DataFrame, idf: DataFrame) -> DataFrame:
-    """(written, gram, w): unit vectors; grams the corpus doesn't know drop out."""
-    tf = names.mapInArrow(_gram_rows, "written string, gram string").groupBy("written", "gram").agg(F.count("*").alias("tf"))
-    w = tf.join(idf, "gram").select("written", "gram", (F.sqrt("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("written")))
-    return w.withColumn("w", F.col("w") / norm)
+        rows: list[list] = [[], [], [], []]
+        for written in batch.column(0).to_pylist():
+            w = parse(written)
+            local = _PART.findall(w.mail[0]) if w.mail else ()
+            if len(local) == 2 and len(w.parts) >= 2 and len(w.parts[0]) > 1 and w.parts[-1] == local[1] and edits(w.parts[0], local[0]) > 1:
+                for column, value in zip(rows, (w.mail[1], *local, w.parts[0]), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in rows], ["mail_domain", "given", "last", "short"])
+
+
+def _person_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [_PART.findall(plain(n)) for n in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] if x else None for x in parts], pa.string()), pa.array([x[-1] if x else None for x in parts], pa.string())], ["party_id", "mail_domain", "given", "last"])
+
+
+def short_forms(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """(party_id, shown): short forms of each person's given name, learnt from spellings beside mail addresses of any registered person of that name."""
+    people = registry.where("party_kind = 'person'").select("party_id", "party_name", F.lower("mail_domain").alias("mail_domain")).mapInArrow(_person_rows, "party_id long, mail_domain string, given string, last string")
+    beside = names.where(F.contains("written", F.lit("@"))).mapInArrow(_shown_rows, "mail_domain string, given string, last string, short string")
+    shown = beside.join(people.select("mail_domain", "given", "last").distinct(), ["mail_domain", "given", "last"])
+    learnt = shown.groupBy("given", "short").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SHOWN)
+    return people.join(learnt, "given").groupBy("party_id").agg(F.sort_array(F.collect_set("short")).alias("shown"))
 
 
 def link_names(written: DataFrame, registry: DataFrame) -> DataFrame:
     """(written, party_id, edits, linkage) of the distinct spellings in ``written`` (column ``written``) that mean a party."""
-    names = written.where(F.trim("written") != "").select("written").distinct()
+    spark = written.sparkSession
+    names = materialise(written.where(F.trim("written") != "").select("written").distinct(), "names")
     registry = registry.where(F.col("party_name").isNotNull()).dropDuplicates(["party_id"])
-    entries = registry.select(F.col("party_name").alias("written"))
-    corpus = names.unionByName(entries).distinct()
-    df = corpus.mapInArrow(_gram_rows, "written string, gram string").groupBy("gram").agg(F.count_distinct("written").alias("df"))
-    n = corpus.count()
-    idf = df.select("gram", F.log(F.lit(float(n + 1)) / F.col("df")).alias("idf"))
-
-    vectors = materialise(_weighted(names, idf), "name-vectors")
-    parties = _weighted(entries.distinct(), idf).join(registry.select("party_id", F.col("party_name").alias("written")), "written").select("party_id", "gram", F.col("w").alias("v"))
-    near = vectors.join(parties, "gram").groupBy("written", "party_id").agg(F.sum(F.col("w") * F.col("v")).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
-    rank = F.row_number().over(Window.partitionBy("written").orderBy(F.desc("cosine"), "party_id"))
-    near = near.withColumn("rank", rank).where(F.col("rank") <= NEAREST).drop("rank")
+    corpus = names.unionByName(registry.select(F.col("party_name").alias("written")))
+    df = corpus.mapInArrow(_dimension_rows, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # DIMENSIONS rows at most
+    total = names.count() + (n_entries := registry.count())
+    weights = np.full(DIMENSIONS, np.log(1.0 + total))
+    weights[df.column(0).to_numpy()] = np.log(1.0 + total / df.column(1).to_numpy())  # what all names share still counts
+    idf = spark.sparkContext.broadcast(weights)
 
     orgs = registry.select(F.col("party_id").alias("org_party_id"), F.col("party_name").alias("org"))
-    whole = registry.join(orgs, "org_party_id", "left").select("party_id", "party_name", "party_kind", "mail_domain", "org")
-    compared = near.join(whole, "party_id").select("written", "party_name", "party_kind", "mail_domain", "org", "party_id", "cosine")
-    fits = compared.mapInArrow(_edit_rows, "written string, party_id long, cosine double, edits int").where(F.col("edits") < 9)
+    whole = registry.join(orgs, "org_party_id", "left").join(short_forms(names, registry), "party_id", "left")
+    number = F.pmod(F.xxhash64("party_id"), F.lit(max(1, -(-n_entries // ENTRIES)))).alias("number")
+    entry = F.struct("party_id", "party_name", "party_kind", "mail_domain", "org", "shown")
+    blocks = whole.select(number, entry.alias("e")).groupBy("number").agg(F.sort_array(F.collect_list("e")).alias("entries"))
+    # the registry is the stated set that all spellings are compared with, block by block
+    packed = names.mapInArrow(_packed, "spellings array<string>")
+    met = packed.join(blocks).select("spellings", "number", "entries")
+    fits = met.mapInArrow(_match(idf), "written string, party_id long, cosine double, edits int")
     least = Window.partitionBy("written")
-    fits = materialise(
-        fits.withColumn("least", F.min("edits").over(least)).where(F.col("edits") == F.col("least")).withColumn("choices", F.count("*").over(least)).drop("least"),
-        "name-fits",
-    )
+    fits = fits.withColumn("least", F.min("edits").over(least)).where(F.col("edits") == F.col("least")).withColumn("choices", F.count("*").over(least)).drop("least")
+    fits = materialise(fits, "name-fits")
 
     # average linkage: the mean of the cosines with all members is the dot product with their mean vector
-    sure = fits.where(F.col("choices") == 1).select("written", "party_id")
-    size = sure.groupBy("party_id").agg(F.count("*").alias("size"))
-    centre = sure.join(vectors, "written").groupBy("party_id", "gram").agg(F.sum("w").alias("c")).join(size, "party_id").select("party_id", "gram", (F.col("c") / F.col("size")).alias("c"))
-    open_ = fits.where(F.col("choices") > 1)
-    linked = (
-        open_.select("written", "party_id").join(vectors, "written").join(centre, ["party_id", "gram"], "left")
-        .groupBy("written", "party_id").agg(F.sum(F.col("w") * F.coalesce("c", F.lit(0.0))).alias("linkage"))
-    )
+    vectors = fits.select("written").distinct().mapInArrow(_weight_rows(idf), "written string, at array<int>, w array<double>")
+    of_fits = materialise(fits.join(vectors, "written").select("written", "party_id", "edits", "choices", F.explode(F.arrays_zip("at", "w")).alias("x")).select("written", "party_id", "edits", "choices", "x.at", "x.w"), "name-weights")
+    sure = of_fits.where(F.col("choices") == 1)
+    size = fits.where(F.col("choices") == 1).groupBy("party_id").agg(F.count("*").alias("size"))
+    centre = sure.groupBy("party_id", "at").agg(F.sum("w").alias("c")).join(size, "party_id").select("party_id", "at", (F.col("c") / F.col("size")).alias("c"))
+    linked = of_fits.join(centre, ["party_id", "at"], "left").groupBy("written", "party_id", "edits", "choices").agg(F.sum(F.col("w") * F.coalesce("c", F.lit(0.0))).alias("linkage"))
     first = F.row_number().over(Window.partitionBy("written").orderBy(F.desc("linkage"), "party_id"))
-    chosen = open_.join(linked, ["written", "party_id"]).withColumn("rank", first).where(F.col("rank") == 1)
-    one = fits.where(F.col("choices") == 1).withColumn("linkage", F.col("cosine"))
-    return one.select("written", "party_id", "edits", "linkage").unionByName(chosen.select("written", "party_id", "edits", "linkage"))
+    chosen = linked.withColumn("rank", first).where((F.col("rank") == 1) & (F.col("linkage") >= LEAST_LINKAGE))
+    return chosen.select("written", "party_id", "edits", "linkage")
 
 
 FIELDS = ("authors", "recipients", "custodian")

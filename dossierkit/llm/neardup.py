@@ -3,9 +3,17 @@
 Order MinHash: each sketch of a record samples the few occurrence-labelled
 k-mers of least hash and retains the order in which they stand in the text, so
 that two sketches agree with a probability that falls with the edit distance.
-Records that agree in a sketch are candidates; each candidate pair is verified
-by the exact likeness of its k-mer sets. The share of its common k-mers that
-keep their order is given besides and decides nothing.
+Records that agree in enough sketches are candidates; each candidate pair is
+verified by the exact likeness of its k-mer sets, and by the share of its common
+k-mers that keep their order in a band of diagonals where a rule asks for it.
+Records with many repeats are sketched by their distinct k-mers as well, since
+likeness counts those, and records of few k-mers by two at a time as well, since
+more would rarely all be common.
+
+A sketch shared by more than ``HOT`` records (a letterhead, a disclaimer) is not
+paired as it is: its records meet under each further sketch that they share, so
+a pair still needs two agreeing sketches, nothing is dropped, and no task gets
+the whole group.
 
 Exact copies (equal words, or equal normalised titles) collapse into classes
 before anything is paired; classes are expanded again at the end.
@@ -21,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +43,10 @@ from ..session import materialise
 
 #: Largest class of exact copies of which all pairs are listed.
 EXPAND = 32
+#: Records of one sketch beyond which they meet under two sketches.
+HOT = 2000
+#: Records up to so many k-mers (over the threshold) are sketched by two k-mers besides; those whose distinct k-mers are at most this share of all, by distinct ones.
+FEW, REPEATS = 16, 0.9
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _WORD = re.compile(r"[^\W_]+")
@@ -51,9 +63,10 @@ class LikenessRule:
     sampled: int  # k-mers of a sketch
     sketches: int
     agree: int  # sketches in which a candidate pair agrees, at least
+    aligned: float = 0.0  # share of the shorter one's k-mers that are common and keep their order, at least
 
 
-#: At the threshold itself a pair is a candidate with a probability of 0.9997 and 0.9972, above it more.
+#: At the threshold itself a pair of records of many k-mers is a candidate with a probability of 0.9997 and 0.9972, above it more.
 TEXT = LikenessRule("word", 3, 0.6, 3, 44, 2)
 TITLE = LikenessRule("char", 3, 0.7, 5, 44, 2)
 
@@ -123,6 +136,17 @@ def sketch(h: np.ndarray, rule: LikenessRule, seed: int) -> np.ndarray:
     return out
 
 
+def sketches_of(h: np.ndarray, rule: LikenessRule, seed: int) -> np.ndarray:
+    """All sketches of a record's k-mers ``h``."""
+    first = np.sort(np.unique(h, return_index=True)[1])
+    out = [sketch(labelled(h), rule, seed)]
+    if len(first) <= REPEATS * len(h):
+        out.append(sketch(h[first], rule, seed))
+    if 2 <= len(first) <= FEW / rule.threshold:
+        out.append(sketch(h[first], replace(rule, sampled=2), seed + 1))
+    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
+
+
 def compare(a: np.ndarray, b: np.ndarray, band: int = 64) -> tuple[float, float]:
     """(likeness, aligned share) of two k-mer sequences.
 
@@ -162,7 +186,7 @@ def _sketch_rows(rules: dict[str, LikenessRule]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        seen: set[bytes] = set()  # classes this task has sketched: copies need no second sketch
+        seen: set[tuple[str, bytes]] = set()  # classes of a field this task has sketched: copies need no second sketch
         for batch in batches:
             field, key, hi, lo, size, sketches = [], [], [], [], [], []
             if len(seen) > 1_000_000:
@@ -180,8 +204,8 @@ def _sketch_rows(rules: dict[str, LikenessRule]):
                 hi.append(int(digest[0]))
                 lo.append(int(digest[1]))
                 size.append(len(np.unique(h)))
-                sketches.append(np.empty(0, np.int64) if raw in seen else sketch(labelled(h), rule, xxhash.xxh32_intdigest(f)).view(np.int64))
-                seen.add(raw)
+                sketches.append(np.empty(0, np.int64) if (f, raw) in seen else sketches_of(h, rule, xxhash.xxh32_intdigest(f)).view(np.int64))
+                seen.add((f, raw))
             ends = np.cumsum([0, *map(len, sketches)])
             values = np.concatenate(sketches) if sketches else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
@@ -200,7 +224,7 @@ def _verify_rows(rules: dict[str, LikenessRule]):
                 if rule.unit == "char" and _char_likeness(ta, tb, rule.k) < rule.threshold - 1e-12:
                     continue
                 x, aligned = compare(kmers(tokens(ta, rule, known), rule.k), kmers(tokens(tb, rule, known), rule.k))
-                if x < rule.threshold - 1e-12:
+                if x < rule.threshold - 1e-12 or aligned < rule.aligned:
                     continue
                 for column, value in zip(rows, (f, ka, kb, x, aligned), strict=True):
                     column.append(value)
@@ -220,6 +244,32 @@ def _record(field: Column, key: Column) -> Column:
     return F.xxhash64(field, key)
 
 
+def _hot_buckets(sketched: DataFrame) -> DataFrame | None:
+    """(bucket) of the sketches that more than HOT records share; None if there are none.
+
+    Sketches are counted in coarse cells first, so that nothing is shuffled but
+    the cells and the few sketches in cells of more than HOT.
+    """
+    n = sketched.agg(F.sum(F.size("sketches"))).first()[0] or 0
+    cells = 1 << max(14, min(24, (n // 1000).bit_length()))
+    each = sketched.select(F.explode("sketches").alias("bucket")).withColumn("cell", F.pmod(F.xxhash64("bucket"), F.lit(cells)))
+    full = each.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("cell")
+    hot = materialise(each.join(full, "cell", "left_semi").groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket"), "neardup-hot")
+    return None if hot.isEmpty() else hot
+
+
+def _met(a: DataFrame, b: DataFrame, on: list[str], least: Column) -> DataFrame:
+    """(lo_a, lo_b, shared, kind, hot) of records that meet in a bucket and are of near size."""
+    a, b = a.alias("a"), b.alias("b")
+    n_a, n_b = F.shiftright("a.size", 4), F.shiftright("b.size", 4)
+    kind = F.col("a.size").bitwiseAND(15)
+    near_size = (n_a >= F.get(least, kind) * n_b) & (n_b >= F.get(least, kind) * n_a)  # else they can't be alike
+    same = F.col("a.rec") < F.col("b.rec")
+    for c in on:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    return a.join(b, same & near_size).select(F.col("a.rec").alias("lo_a"), F.col("b.rec").alias("lo_b"), kind.alias("kind"))
+
+
 def near_duplicates(items: DataFrame, rules: dict[str, LikenessRule]) -> NearDuplicates:
     """Classes of exact copies among ``items`` (field, key, text) and the like pairs between classes."""
     items = items.select("field", F.col("key").cast("string").alias("key"), "text").where(F.col("text").isNotNull() & F.col("key").isNotNull())
@@ -233,17 +283,26 @@ def near_duplicates(items: DataFrame, rules: dict[str, LikenessRule]) -> NearDup
     # sketched leaves one row in a bucket. Buckets name a class by half of its hash: should two
     # classes meet in it, both are compared, so nothing is lost.
     fields = sorted(rules)
+    if max(r.agree for r in rules.values()) > 2:
+        raise ValueError("at most two sketches may be asked to agree")
     number = F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.lit(i))])
-    buckets = sketched.select(F.explode("sketches").alias("bucket"), F.col("class_lo").alias("rec"), (F.col("size") * 16 + number[F.col("field")]).alias("size"))
-    buckets = buckets.repartition("bucket").dropDuplicates(["bucket", "rec"])
+    of = [F.col("class_lo").alias("rec"), (F.col("size") * 16 + number[F.col("field")]).alias("size")]
+    buckets = sketched.select(F.explode("sketches").alias("bucket"), *of)
     least, agree = (F.array(*[F.lit(getattr(rules[f], x)) for f in fields]) for x in ("threshold", "agree"))
-    a, b = buckets.alias("a"), buckets.alias("b")
-    n_a, n_b = F.shiftright("a.size", 4), F.shiftright("b.size", 4)
-    kind = F.col("a.size").bitwiseAND(15)
-    near_size = (n_a >= F.get(least, kind) * n_b) & (n_b >= F.get(least, kind) * n_a)  # else they can't be alike
-    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rec") < F.col("b.rec")) & near_size)
-    met = met.groupBy(F.col("a.rec").alias("lo_a"), F.col("b.rec").alias("lo_b")).agg(F.count("*").alias("n"), F.first(kind).alias("kind"))
+    hot = _hot_buckets(sketched)
+    met_hot = None
+    if hot is not None:
+        whole = sketched.select(F.explode("sketches").alias("bucket"), *of, "sketches").join(hot, "bucket", "left_semi")
+        two = whole.select("bucket", "rec", "size", F.explode("sketches").alias("other")).where(F.col("other") != F.col("bucket"))
+        two = two.repartition("bucket", "other").dropDuplicates(["bucket", "other", "rec"])
+        # two agreeing sketches at once: as many as any rule asks for
+        met_hot = _met(two, two, ["bucket", "other"], least).select("lo_a", "lo_b").distinct()
+        buckets = buckets.join(hot, "bucket", "left_anti")
+    buckets = buckets.repartition("bucket").dropDuplicates(["bucket", "rec"])
+    met = _met(buckets, buckets, ["bucket"], least).groupBy("lo_a", "lo_b").agg(F.count("*").alias("n"), F.first("kind").alias("kind"))
     met = met.where(F.col("n") >= F.get(agree, F.col("kind"))).select("lo_a", "lo_b")
+    if met_hot is not None:
+        met = met.unionByName(met_hot).distinct()
     named = classes.select("field", "class_lo", "rep")
     ends = [named.select(F.col("field").alias(f"f_{x}"), F.col("class_lo").alias(f"lo_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
     candidates = met.join(ends[0], "lo_a").join(ends[1], "lo_b").where("f_a = f_b")
@@ -267,6 +326,29 @@ def near_duplicates(items: DataFrame, rules: dict[str, LikenessRule]) -> NearDup
     return NearDuplicates(members, pairs)
 
 
+def clusters(found: NearDuplicates) -> DataFrame:
+    """(field, rep, cluster): the connected classes, each named by its least; classes without links are left out.
+
+    Labels fall to the least of the neighbours', then to their label's own, until
+    none falls: rounds grow with the logarithm of a chain's length. Each round is
+    written as a table, so a lost executor costs no more than its round.
+    """
+    links = found.pairs.select("field", F.col("rep_a").alias("rep"), F.col("rep_b").alias("near"))
+    links = materialise(links.unionByName(links.select("field", F.col("near").alias("rep"), F.col("rep").alias("near"))).distinct(), "neardup-links")
+    labels = links.groupBy("field", "rep").agg(F.least("rep", F.min("near")).alias("cluster"))
+    while True:
+        labels = materialise(labels, "neardup-labels")
+        of = labels.select("field", F.col("rep").alias("near"), F.col("cluster").alias("of_near"))
+        near = links.join(of, ["field", "near"]).groupBy("field", "rep").agg(F.min("of_near").alias("least"))
+        jump = labels.select("field", F.col("rep").alias("cluster"), F.col("cluster").alias("jump"))
+        fallen = labels.join(near, ["field", "rep"]).join(jump, ["field", "cluster"], "left")
+        fallen = fallen.select("field", "rep", F.col("cluster").alias("was"), F.least("cluster", "least", F.coalesce("jump", "cluster")).alias("cluster"))
+        fallen = materialise(fallen, "neardup-labels")
+        if fallen.where("was <> cluster").isEmpty():
+            return labels
+        labels = fallen.drop("was")
+
+
 def all_pairs(found: NearDuplicates) -> DataFrame:
     """(field, key_a, key_b) of like records, the classes expanded as the module's text says."""
     copied = found.members.where(F.col("copies") > 1)

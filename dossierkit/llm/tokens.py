@@ -103,7 +103,7 @@ def _encode_chunks(path: str, counts_only: bool):
                 heads.append(head)
                 tails.append(tail)
                 sizes.append(-1 if core is None else len(ids))
-                cores.append(b"" if counts_only else np.asarray(ids, np.uint16).tobytes())
+                cores.append(b"" if counts_only else np.asarray(ids, np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.binary()), pa.array(heads, pa.string()), pa.array(cores, pa.binary()), pa.array(tails, pa.string()), pa.array(sizes, pa.int32())],
                 ["chunk", "head", "core", "tail", "size"],
@@ -136,7 +136,7 @@ def _repair(path: str, counts_only: bool):
                     total += len(ids) + sizes[j]
                     if not counts_only:
                         out.append(np.asarray(ids, np.int32))
-                        out.append(np.frombuffer(cores[j], np.uint16).astype(np.int32))
+                        out.append(np.frombuffer(cores[j], np.int32))
                     pending = tails[j]
                 ids = enc(pending) if pending else []
                 total += len(ids)

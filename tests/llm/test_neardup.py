@@ -1,7 +1,11 @@
 import random
 import re
+from dataclasses import replace
 
-from dossierkit.llm.neardup import TEXT, TITLE, all_pairs, compare, kmers, near_duplicates, tokens
+import pyarrow as pa
+
+from dossierkit.llm import neardup
+from dossierkit.llm.neardup import TEXT, TITLE, NearDuplicates, all_pairs, clusters, compare, kmers, near_duplicates, tokens
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -66,3 +70,53 @@ def test_alignment_follows_moved_blocks():
     two = kmers(tokens(f"{b} {a}", TEXT, known), 3)
     assert compare(one, two)[1] > 0.95
     assert compare(one, kmers(tokens("c d e f", TEXT, known), 3)) == (0, 0)
+
+
+def test_fields_of_one_unit_keep_their_own_sketches(spark):
+    base = " ".join(f"y{i}" for i in range(60))
+    rows = [(f, f"{f}{v}", base + f" tail{v} of it") for f in ("a", "b") for v in range(2)] + [(f, f"{f}0c", base + " tail0 of it") for f in "ab"]
+    found = all_pairs(near_duplicates(spark.createDataFrame(rows, "field string, key string, text string"), {"a": TEXT, "b": TEXT}))
+    assert {tuple(r) for r in found.collect()} == {(f, x, y) for f in "ab" for x, y in ((f"{f}0", f"{f}0c"), (f"{f}0", f"{f}1"), (f"{f}0c", f"{f}1"))}
+
+
+def test_hot_sketches_lose_nothing(spark, monkeypatch):
+    """Records that share a letterhead meet under two sketches; the pairs are those found without a limit, and those of brute force."""
+    rnd = random.Random(3)
+    head = " ".join(f"h{i}" for i in range(25))
+    rows = []
+    for g in range(40):
+        body = [f"g{g}w{rnd.randrange(60)}" for _ in range(50)]
+        for v in range(3):
+            rows.append(("text", f"{g}-{v}", head + " " + " ".join(w if rnd.random() > 0.04 * v else f"v{rnd.randrange(99)}" for w in body)))
+    df = spark.createDataFrame(rows, "field string, key string, text string")
+    whole = {tuple(r) for r in all_pairs(near_duplicates(df, {"text": TEXT})).collect()}
+    monkeypatch.setattr(neardup, "HOT", 20)
+    assert neardup._hot_buckets(spark.createDataFrame([([7, i],) for i in range(30)], "sketches array<long>")).collect()[0]["bucket"] == 7
+    assert {tuple(r) for r in all_pairs(near_duplicates(df, {"text": TEXT})).collect()} == whole == _brute(rows)
+
+
+def test_repeats_and_few_kmers(spark):
+    rows = [("text", "one", "a b c d e f g h"), ("text", "three", " ".join(["a b c d e f g h"] * 9))]
+    rows += [("title", f"s{i}", t) for i, t in enumerate(("abcde", "abcdef", "abcdefg", "bcdefgh", "xyzabc", "xyzabcd"))]
+    df = spark.createDataFrame(rows, "field string, key string, text string")
+    rule = {"text": TEXT, "title": TITLE}
+    assert {tuple(r) for r in all_pairs(near_duplicates(df, rule)).collect()} == _brute(rows)
+
+
+def test_order_decides_where_a_rule_asks_for_it():
+    words = [f"w{i}" for i in range(400)]
+    blocks = [words[i : i + 5] for i in range(0, 400, 5)]
+    mixed = [w for b in random.Random(1).sample(blocks, len(blocks)) for w in b]
+    texts = {"a": " ".join(words), "b": " ".join(mixed), "c": " ".join(words[:390])}
+    pairs = pa.RecordBatch.from_pydict({"f": ["text"] * 2, "ka": ["a"] * 2, "kb": ["b", "c"], "ta": [texts["a"]] * 2, "tb": [texts["b"], texts["c"]]})
+    loose = replace(TEXT, threshold=0.3)
+    for rule, want in ((loose, ["b", "c"]), (replace(loose, aligned=0.7), ["c"])):
+        assert next(neardup._verify_rows({"text": rule})(iter([pairs]))).column(2).to_pylist() == want
+
+
+def test_clusters_are_what_pairs_connect(spark):
+    rows = [("f", f"k{i:02d}", f"k{i + 1:02d}", 1.0, 1.0) for i in range(30)] + [("f", "x", "y", 1.0, 1.0), ("g", "k00", "x", 1.0, 1.0)]
+    pairs = spark.createDataFrame(rows, "field string, rep_a string, rep_b string, likeness double, aligned double")
+    got = {(r["field"], r["rep"]): r["cluster"] for r in clusters(NearDuplicates(pairs, pairs)).collect()}
+    assert got == {**{("f", f"k{i:02d}"): "k00" for i in range(31)}, ("f", "x"): "x", ("f", "y"): "x", ("g", "k00"): "k00", ("g", "x"): "k00"}
+    assert clusters(NearDuplicates(pairs, pairs.limit(0))).count() == 0
