@@ -51,6 +51,28 @@ def dry_run(incoming: DataFrame, incoming_artifacts: DataFrame, stored: DataFram
     return rows.select("id", kind.alias("class"))
 
 
+def text_refetches(plan: DataFrame, incoming_artifacts: DataFrame) -> DataFrame:
+    """One row: how many text artifacts a run by ``plan`` (id, class) would fetch and embed again, those of new and changed documents."""
+    texts = incoming_artifacts.where(F.col("media_type") == "text/plain").select("id", "name", "md5").distinct()
+    return texts.join(plan.where(F.col("class").isin("new", "changed")).select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("text_artifacts"))
+
+
+def delete_derived(store: Store, ids: DataFrame, tables: tuple[str, ...] = ("documents", "chunks", "raw_artifacts")) -> dict[str, int]:
+    """Delete the rows of the ids (first column) from each table, in one commit; the number deleted, 0 where a table is absent."""
+    keys = {"chunks": "doc_id"}
+    wanted = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    out, t = {}, store.begin()
+    for name in tables:
+        out[name] = 0
+        if store.exists(name):
+            rows, key = store.read(name), keys.get(name, "id")
+            out[name] = rows.join(wanted, rows[key] == wanted["__id"], "left_semi").count()
+            if out[name]:
+                t.merge(name, None, wanted, key)
+    t.commit()
+    return out
+
+
 def upsert(stored: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:
     """Stored rows with those of the delta's keys replaced by the delta's."""
     return stored.join(delta.select(key).distinct(), key, "left_anti").unionByName(delta)

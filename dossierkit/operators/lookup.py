@@ -41,6 +41,16 @@ def artifact_digests(artifacts: DataFrame) -> DataFrame:
     return artifacts.groupBy("id").agg(F.sort_array(F.collect_set(artifact_keys())).alias("keys"))
 
 
+def by_bns(docs: DataFrame, bns: DataFrame) -> DataFrame:
+    """Documents whose bn is among the wanted (first column), whole rows, each once."""
+    return docs.join(bns.select(F.col(bns.columns[0]).alias("bn")).where(F.col("bn").isNotNull()).distinct(), "bn", "left_semi").dropDuplicates(["id"])
+
+
+def by_conversations(docs: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Documents of the wanted conversations (first column), whole rows, each once."""
+    return docs.join(conversations.select(F.col(conversations.columns[0]).alias("conversation")).where(F.col("conversation").isNotNull()).distinct(), "conversation", "left_semi").dropDuplicates(["id"])
+
+
 def resolve(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, id) of each wanted key that is a document's id, else its bn; of several with one bn the smallest id."""
     keys = keys.select("key").where(F.col("key").isNotNull()).distinct()

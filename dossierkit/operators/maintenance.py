@@ -30,10 +30,10 @@ def index_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-def compact(store: Store, table: str, rows_per_file: int = 1_000_000) -> int:
-    """Rewrite a table in few files sorted by its keys; the rows stay the same."""
+def compact(store: Store, table: str, rows_per_file: int = 1_000_000, bytes_per_file: int = 256 << 20) -> int:
+    """Rewrite a table in few files sorted by its keys, of about so many rows or stored bytes, whichever are fewer; the rows stay the same."""
     df = store.read(table)
-    files = max(1, -(-df.count() // rows_per_file))
+    files = max(1, -(-df.count() // rows_per_file), -(-store.size(table) // bytes_per_file))
     keys = [c for c in SORTED_BY.get(table, df.columns[:1]) if c in df.columns]
     return store.write(table, df.repartitionByRange(files, *keys).sortWithinPartitions(*keys))
 

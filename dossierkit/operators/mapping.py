@@ -15,7 +15,7 @@ SCALAR_FIELDS = {
     "id": "id", "bn": "bn", "industry": "industry", "collection": "collection", "genre": "genre", "date_sent": "datesent", "date_received": "datereceived", "topic": "topic", "description": "desc",
     "keywords": "kw", "conversation": "conversation",
 }
-LIST_FIELDS = {"custodian": "custodian", "authors": "au", "recipients": "rc", "cc": "cc", "attachments": "attachment", "related": "related", "mentions": "mentioned"}
+LIST_FIELDS = {"custodian": "custodian", "authors": "au", "recipients": "rc", "cc": "cc", "attachments": "attachment", "related": "related", "mentions": "men"}
 UNIT, ELEMENT = "\x1f", "\x1e"
 
 

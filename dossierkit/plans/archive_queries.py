@@ -85,8 +85,14 @@ def resolve_id_or_bn(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT d.id, d.conversation FROM doc_meta d WHERE conversation IN (SELECT reference FROM graph_edges WHERE kind = 'conversation')")
 def documents_by_conversation(spark: SparkSession, d: str) -> DataFrame:
-    threads = table(spark, d, "graph_edges").where("kind = 'conversation'").select(F.col("reference").alias("conversation"))
-    return table(spark, d, "doc_meta").join(threads, "conversation", "left_semi").select("id", "conversation").distinct()
+    threads = table(spark, d, "graph_edges").where("kind = 'conversation'").select("reference")
+    return L.by_conversations(table(spark, d, "doc_meta"), threads).select("id", "conversation")
+
+
+@query("SELECT DISTINCT d.id, d.bn FROM doc_meta d WHERE bn IN (SELECT reference FROM graph_edges WHERE kind <> 'conversation')")
+def documents_by_bns(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "graph_edges").where("kind <> 'conversation'").select("reference")
+    return L.by_bns(table(spark, d, "doc_meta"), asked).select("id", "bn")
 
 
 @query("""SELECT DISTINCT d.id, d.title, a.name, a.media_type, CASE WHEN a.size IS NOT NULL THEN greatest(a.size, 0) END AS size FROM doc_meta d JOIN artifacts a ON a.id = d.id""")
@@ -145,7 +151,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     record = F.to_json(F.struct(
         "id", "bn", F.col("title").alias("ti"), "industry", F.array("collection").alias("collection"), "genre", F.array("date_sent").alias("datesent"), F.array("date_received").alias("datereceived"), "topic",
         F.col("description").alias("desc"), F.col("keywords").alias("kw"), "conversation", "custodian", F.col("authors").alias("au"), F.col("recipients").alias("rc"), "cc", F.col("attachments").alias("attachment"),
-        "related", F.col("mentions").alias("mentioned"), F.array("ddmudate").alias("ddmudate"), F.array("j").alias("artifact"),
+        "related", F.col("mentions").alias("men"), F.array("ddmudate").alias("ddmudate"), F.array("j").alias("artifact"),
     ))
     return docs.select(record.alias("record"))
 
@@ -236,6 +242,14 @@ def dry_run_plan(spark: SparkSession, d: str) -> DataFrame:
     return I.dry_run(incoming, arts, stored, arts.where("md5 IS NOT NULL"))
 
 
+@query(_SPLIT_SQL + _SETS_SQL + """, plan AS (SELECT i.id, CASE WHEN bool_or(i.redacted) OR any_value(n.keys) IS NULL THEN 'redacted' WHEN NOT bool_or(i.id IN (SELECT id FROM stored)) THEN 'new'
+WHEN coalesce(any_value(n.keys), []) = coalesce(any_value(o.keys), []) THEN 'unchanged' ELSE 'changed' END AS class
+FROM incoming i LEFT JOIN new_sets n ON n.id = i.id LEFT JOIN old_sets o ON o.id = i.id GROUP BY i.id)
+SELECT count(*) AS text_artifacts FROM (SELECT DISTINCT id, name, md5 FROM artifacts WHERE media_type = 'text/plain' AND id IN (SELECT id FROM plan WHERE class IN ('new', 'changed')))""")
+def dry_run_refetches(spark: SparkSession, d: str) -> DataFrame:
+    return I.text_refetches(dry_run_plan(spark, d), table(spark, d, "artifacts"))
+
+
 @query("SELECT max(ddmudate) AS watermark FROM doc_meta")
 def watermark_max_string(spark: SparkSession, d: str) -> DataFrame:
     return I.watermark(table(spark, d, "doc_meta"))

@@ -3,7 +3,8 @@
 ``spark.read.format("record_pages")`` reads pages of JSON records, each page as
 one input partition. A page is a file of JSON lines under ``path``; the options
 ``since`` and ``modified`` keep the records modified at or after a bound,
-compared as text, and ``fields`` names the fields to keep. Over a search server
+compared as text, and ``fields`` names the fields to keep, or ``scan`` one of the
+lists of ``SCANS`` (all fields by default). Over a search server
 only ``pages`` and ``records`` differ.
 """
 
@@ -15,7 +16,17 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from ..operators.mapping import LIST_FIELDS, SCALAR_FIELDS
+
 SCHEMA = "id string, modified string, record string"
+POLICY = ["deaccessioned", "published"]
+#: Fields of a record by the kind of scan; id and time of modification always come besides, and no list means all.
+SCANS: dict[str, list[str]] = {
+    "light": ["id"],
+    "classify": ["artifact", *POLICY],
+    "lean": [*SCALAR_FIELDS.values(), "ti", "filename", *LIST_FIELDS.values(), "artifact", *POLICY],
+    "full": [],
+}
 
 
 class Page(InputPartition):
@@ -56,7 +67,7 @@ def records(cursor: str, since: str | None, modified: str, fields: list[str] | N
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.since, self.modified = options["path"], options.get("since"), options.get("modified", "ddmudate")
-        self.fields = [x for x in options.get("fields", "").split(",") if x] or None
+        self.fields = [x for x in options.get("fields", "").split(",") if x] or SCANS[options.get("scan", "full")] or None
 
     def partitions(self) -> list[Page]:
         return [Page(c) for c in pages(self.path)] or [Page("")]

@@ -4,6 +4,11 @@
 by id and follows the cursor until it repeats, is empty, or a page is. The
 option ``slices`` names id boundaries ("g,p"): each slice is read by a task of
 its own with its own cursor, since one cursor can only be followed in sequence.
+
+The option ``scan`` says what a record holds: ``lean`` (the default) every field
+that the mapping reads, but not the source's own full text, which is most of a
+record; ``light`` the id and the time of modification; ``classify`` these, the
+artifacts and the policy flags; ``full`` everything. ``fields`` names them instead.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .records import SCHEMA, _modified
+from .records import SCANS, SCHEMA, _modified
 
 
 class Slice(InputPartition):
@@ -66,7 +71,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.url, self.size = options["url"], int(options.get("pagesize", options.get("pageSize", 1000)))
         self.since, self.modified = options.get("since"), options.get("modified", "ddmudate")
-        self.fields = [x for x in options.get("fields", "").split(",") if x]
+        self.fields = [x for x in options.get("fields", "").split(",") if x] or SCANS[options.get("scan", "lean")]
         self.bounds = [x for x in options.get("slices", "").split(",") if x]
 
     def partitions(self) -> list[Slice]:

@@ -8,6 +8,7 @@ import pytest
 
 from dossierkit.functions.embed import embed_column
 from dossierkit.functions.embed_http import HttpEmbedder
+from dossierkit.sources.records import SCANS
 from dossierkit.sources.server import RecordServer, fetch
 
 DOCS = [{"id": f"{c}{i}", "ddmudate": [f"2020-0{i}-01"], "ti": "x"} for c in "agp" for i in range(1, 6)]
@@ -68,6 +69,15 @@ def test_cursor_pages(spark, server):
     assert {r["id"] for r in late} == {"a5", "g5", "p5"} and all("ti" not in json.loads(r["record"]) for r in late)
 
 
+def test_scans_by_kind(spark, server):
+    spark.dataSource.register(RecordServer)
+    docs = [json.loads(r["record"]) for r in spark.read.format("record_server").options(url=f"{server}/select", scan="light").load().collect()]
+    assert len(docs) == len(DOCS) and all(set(d) == {"id", "ddmudate"} for d in docs)
+    assert SCANS["classify"] == ["artifact", "deaccessioned", "published"] and "ot" not in SCANS["lean"] and {"ti", "filename", "artifact", "published"} <= set(SCANS["lean"])
+    lean = [json.loads(r["record"]) for r in spark.read.format("record_server").options(url=f"{server}/select").load().collect()]
+    assert all("ti" in d for d in lean)
+
+
 def test_failures_name_their_cause(server):
     for path, cause in (("/bad", "HTTP 500"), ("/text", "no JSON")):
         with pytest.raises(RuntimeError, match=cause):
