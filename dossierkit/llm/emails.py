@@ -39,6 +39,8 @@ from ..session import materialise
 INTRO = 6
 #: A wording introduces if it stands above inherited spans so often at least, and in such a share of its places.
 LEAST_ABOVE, SHARE_ABOVE = 3, 0.5
+#: The time of messages that have none, in microseconds: after all others.
+NO_TIME = 1 << 56
 #: Words of a shingle, and shingles of a window of which one is kept.
 SHINGLE, WINDOW = 6, 6
 
@@ -510,38 +512,44 @@ def _time_of() -> F.Column:
     """When a message was sent: its date, or the earlier of the day it says and the time it came in; microseconds."""
     sent = F.coalesce(*[F.try_to_timestamp(F.col("date_sent"), F.lit(p)) for p in ("yyyy MMMM dd", "MM/dd/yy", "yyyy-MM-dd")])
     at = F.coalesce(F.try_to_timestamp(F.col("ddmudate")), F.least(F.date_add(sent, 1).cast("timestamp"), F.col("ingested_at").cast("timestamp")))
-    return F.coalesce(F.unix_micros(at), F.lit(1 << 62))
+    return F.least(F.coalesce(F.unix_micros(at), F.lit(NO_TIME)), F.lit(NO_TIME))
+
+
+def _tag(name: str) -> int:
+    """Tells the texts of one document apart, in the upper half of positions."""
+    return (xxhash.xxh32_intdigest(name) >> 1) << 32
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, rank, doc, pos): the rank orders the uses of a shingle by time, then by depth of quotes."""
     known: dict[str, int] = {}
     for batch in batches:
-        keys, docs, ats, times, depths = [], [], [], [], []
-        for m, t, c, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        keys, docs, ranks, ats = [], [], [], []
+        for doc, name, at, c, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             lines = read_lines(text)
             pos, h = shingles(lines, xxhash.xxh3_64_intdigest(c), known)
             if len(pos):
                 keys.append(h.view(np.int64))
-                ats.append(pos.astype(np.int32))
-                docs.append(np.full(len(pos), m, np.int64))
-                times.append(np.full(len(pos), t, np.int64))
-                depths.append(np.repeat([x.depth for x in lines], [x.words for x in lines])[pos].astype(np.int16))
-        cat = (lambda x, k: np.concatenate(x) if x else np.empty(0, k))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cat(keys, np.int64)), pa.array(cat(times, np.int64)), pa.array(cat(depths, np.int16)), pa.array(cat(docs, np.int64)), pa.array(cat(ats, np.int32))], ["shingle", "at", "depth", "doc", "pos"]
-        )
+                ats.append(pos.astype(np.int64) + _tag(name))
+                docs.append(np.full(len(pos), doc, np.int64))
+                depth = np.repeat([min(x.depth, 63) for x in lines], [x.words for x in lines])[pos]
+                ranks.append((at << 6) + depth.astype(np.int64))
+        cat = (lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([cat(keys), cat(ranks), cat(docs), cat(ats)], ["shingle", "rank", "doc", "pos"])
 
 
-def _spans(text: str, found: list[dict] | None) -> np.ndarray | None:
+def _spans(name: str, text: str, found: list[dict] | None) -> np.ndarray | None:
     """Which words of a message lie in inherited spans, by the shingles found in ancestors."""
-    if not found:
+    tag, low = _tag(name), (1 << 32) - 1
+    hits = sorted({(f["pos"] - tag, (f["doc"], f["src"] >> 32), f["src"] & low) for f in found or () if f["pos"] & ~low == tag})
+    if not hits:
         return None
     lines = read_lines(text)
-    hits = sorted({(f["pos"], f["doc"], f["src"]) for f in found})
-    return inherited_words(lines[-1].first + lines[-1].words, *(np.array([x[i] for x in hits]) for i in range(3)))
+    number = {s: i for i, s in enumerate(dict.fromkeys(x[1] for x in hits))}
+    return inherited_words(lines[-1].first + lines[-1].words, np.array([x[0] for x in hits]), np.array([number[x[1]] for x in hits]), np.array([x[2] for x in hits]))
 
 
-_FOUND = "array<struct<pos: int, doc: long, src: int>>"
+_FOUND = "array<struct<pos: long, doc: long, src: long>>"
 _PASS = f"kind string, name string, doc long, line int, wording long, below boolean, text string, found {_FOUND}"
 
 
@@ -558,7 +566,7 @@ def _first_pass(with_text: bool):
                     column.append(value)
 
             for at, (name, doc, text, found) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                inherited = _spans(text, found)
+                inherited = _spans(name, text, found)
                 may = heads(read_lines(text), inherited)
                 for i, words, below in may:
                     row("head", None, doc, i, words, below)
@@ -583,7 +591,7 @@ def _line_rows(with_text: bool):
         for batch in batches:
             names, numbers = [], []
             for m, text, found, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone = not_written(text, _spans(text, found), set(known or ()))
+                gone = not_written(text, _spans(m, text, found), set(known or ()))
                 if with_text:
                     drop = set(gone)
                     kept = [x for i, x in enumerate(text.split("\n"), 1) if i not in drop]
@@ -604,17 +612,18 @@ def _classified(artifact_text: DataFrame, doc_meta: DataFrame, with_text: bool)
     # only the texts of emails move: a Bloom filter of bounded size holds the others back at the scan
     n_blocks = bloom.blocks_for(sent.count())
     texts = bloom.probe(artifact_text.select("id", "name", "text"), "id", bloom.build(sent, "id", n_blocks), n_blocks, "mail").where("mail").drop("mail")
-    emails = texts.join(sent, "id").select("name", F.xxhash64("name").alias("doc"), "at", "conversation", "text")
+    # one plan at every size, and one partitioning for the texts: by document, in this join and in that with what is found
+    sent = sent.select(F.xxhash64("id").alias("doc"), "at", "conversation").hint("merge")
+    emails = texts.select(F.xxhash64("id").alias("doc"), "name", "text").join(sent, "doc").select("name", "doc", "at", "conversation", "text")
     emails, empty = emails.where(F.col("text").isNotNull()), emails.where(F.col("text").isNull())
-    kind = "shingle long, at long, depth short, doc long, pos int"
-    uses = materialise(emails.select("doc", "at", "conversation", "text").mapInArrow(_shingle_rows, kind), "mail-shingles")
+    kind = "shingle long, rank long, doc long, pos long"
+    uses = materialise(emails.select("doc", "name", "at", "conversation", "text").mapInArrow(_shingle_rows, kind), "mail-shingles")
     # partial aggregation first; a shingle of a third of all messages meets in one row a map task
-    first = uses.groupBy("shingle").agg(F.min(F.struct("at", "depth", "doc", "pos")).alias("e"), F.count("*").alias("n")).where(F.col("n") > 1)
-    first = first.select("shingle", F.col("e.at").alias("e_at"), F.col("e.depth").alias("e_depth"), F.col("e.doc").alias("src_doc"), F.col("e.pos").alias("src"))
-    later = (F.col("e_at") < F.col("at")) | ((F.col("e_at") == F.col("at")) & (F.col("e_depth") < F.col("depth")))
-    hits = uses.join(first, "shingle").where((F.col("doc") != F.col("src_doc")) & later)
+    first = uses.groupBy("shingle").agg(F.min(F.struct("rank", "doc", "pos")).alias("e"), F.count("*").alias("n")).where(F.col("n") > 1)
+    first = first.select("shingle", F.col("e.rank").alias("earliest"), F.col("e.doc").alias("src_doc"), F.col("e.pos").alias("src"))
+    hits = uses.join(first.hint("merge"), "shingle").where((F.col("doc") != F.col("src_doc")) & (F.col("earliest") < F.col("rank")))
     found = hits.groupBy("doc").agg(F.collect_list(F.struct("pos", F.col("src_doc").alias("doc"), "src")).alias("found"))
-    passed = emails.select("name", "doc", "text").join(found, "doc", "left").select("name", "doc", "text", "found")
+    passed = emails.select("name", "doc", "text").join(found.hint("merge"), "doc", "left").select("name", "doc", "text", "found")
     passed = materialise(passed.mapInArrow(_first_pass(with_text), _PASS), "mail-lines")
 
     # what stands above inherited spans, and how often its wording does

@@ -49,6 +49,11 @@ def encoder(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def id_type(path: str) -> type:
+    """The narrowest type that holds every id of the vocabulary."""
+    return np.uint16 if encoder(path).n_vocab <= 1 << 16 else np.int32
+
+
 def sure_parts(piece: str) -> tuple[str, str | None, str]:
     """(head, core, tail) of a chunk; core is None where no sure boundary is found."""
     first = _SURE.search(piece)
@@ -94,7 +99,7 @@ def _chunk_rows(with_piece: bool):
 
 def _encode_chunks(path: str, counts_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path).encode_ordinary
+        enc, width = encoder(path).encode_ordinary, id_type(path)
         for batch in batches:
             heads, cores, tails, sizes = [], [], [], []
             for piece in batch.column(1).to_pylist():
@@ -103,7 +108,7 @@ def _encode_chunks(path: str, counts_only: bool):
                 heads.append(head)
                 tails.append(tail)
                 sizes.append(-1 if core is None else len(ids))
-                cores.append(b"" if counts_only else np.asarray(ids, np.int32).tobytes())
+                cores.append(b"" if counts_only else np.asarray(ids, width).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.binary()), pa.array(heads, pa.string()), pa.array(cores, pa.binary()), pa.array(tails, pa.string()), pa.array(sizes, pa.int32())],
                 ["chunk", "head", "core", "tail", "size"],
@@ -116,7 +121,7 @@ def _repair(path: str, counts_only: bool):
     """Put the chunks of each text together and encode again over the joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path).encode_ordinary
+        enc, width = encoder(path).encode_ordinary, id_type(path)
         for batch in batches:
             lists = batch.column(1)
             parts = lists.flatten()
@@ -136,7 +141,7 @@ def _repair(path: str, counts_only: bool):
                     total += len(ids) + sizes[j]
                     if not counts_only:
                         out.append(np.asarray(ids, np.int32))
-                        out.append(np.frombuffer(cores[j], np.int32))
+                        out.append(np.frombuffer(cores[j], width).astype(np.int32))
                     pending = tails[j]
                 ids = enc(pending) if pending else []
                 total += len(ids)
