@@ -14,7 +14,7 @@ from .functions.embed import HashingEmbedder
 from .operators import ingest as I
 from .operators.artifacts import read_objects
 from .operators.fulltext import build_fulltext, build_raw
-from .operators.maintenance import counts, format_bytes, format_count, index_stats, sample_document
+from .operators.maintenance import counts, format_bytes, format_count, index_documents, index_stats, sample_document
 from .operators.mapping import explode_artifacts, map_records
 from .session import ship
 from .sources.records import RecordPages
@@ -44,6 +44,7 @@ def ingest(spark: SparkSession, config: Config, args: argparse.Namespace) -> dic
     out: dict = {}
     if args.force or not store.exists("documents"):
         I.build(store, documents, artifacts, force=args.force)
+        index_documents(store)
         out["built"] = store.read("documents").count()
     else:
         out["applied"] = asdict(I.apply(store, documents, artifacts, since=args.since))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.chunks import chunks
 from ..functions.embed import Embedder, embed_column
-from .ingest import Store
+from . import textindex
+from .store import Store
 from .lookup import text_artifacts
 
 
@@ -51,6 +52,9 @@ def build_fulltext(store: Store, texts: DataFrame, embedder: Embedder, size: int
     n = done.agg(F.count("*"), F.count_distinct("doc_id")).first()
     dim = done.select(F.size("vector")).first()
     meta = [(embedder.model, dim[0] if dim else 0, size, overlap, n[1], n[0])]
+    index = textindex.rows(done.select(textindex.chunk_key().alias("key"), "text"), "key", "text")
+    t.put("chunks_postings", index.postings, "bucket")
+    t.put("chunks_lengths", index.documents)
     t.put("_meta", done.sparkSession.createDataFrame(meta, "embed_model string, dim int, chunk_bytes int, chunk_overlap int, documents long, chunks long").withColumn("built_at", F.unix_timestamp()))
     t.commit()
     return IndexStats(n[1], n[0], missing)

@@ -127,6 +127,8 @@ class ApplyStats:
 DERIVED = ("chunks", "raw_artifacts")
 #: Tables of the full-text index over ``search_text``.
 INDEXED = ("documents_postings", "documents_lengths")
+#: Those of the index over chunks, which a full-text build brings and the loss of chunks takes away.
+CHUNK_INDEX = ("chunks_postings", "chunks_lengths")
 
 
 def build(store: Store, documents: DataFrame, artifacts: DataFrame, force: bool = False, drop_redacted: bool = False) -> None:
@@ -140,7 +142,7 @@ def build(store: Store, documents: DataFrame, artifacts: DataFrame, force: bool
     t = store.begin()
     t.put("documents", rows.drop("redacted"))
     t.put("artifacts", artifacts)
-    for name in (*DERIVED, *INDEXED, "_meta"):
+    for name in (*DERIVED, *INDEXED, *CHUNK_INDEX, "_meta"):
         t.drop(name)
     t.put("_ingest_state", watermark(rows))
     t.commit()
@@ -182,6 +184,8 @@ def apply(store: Store, documents: DataFrame, artifacts: DataFrame, since: str |
         for name, key in zip(DERIVED, ("doc_id", "id"), strict=True):
             if n_stale and store.exists(name):
                 t.merge(name, None, stale, key)
+                for part in CHUNK_INDEX if name == "chunks" else ():
+                    t.drop(part)
         best = max(x for x in (mark, seen) if x is not None) if mark or seen else None
         if best != mark or known is None:
             t.put("_ingest_state", documents.sparkSession.createDataFrame([(best,)], "watermark string"))

@@ -288,14 +288,19 @@ def _bytes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "artifact_text").where("text IS NOT NULL").select("id", "name", F.encode("text", "UTF-8").alias("data")).distinct()
 
 
-@query("""WITH t AS (SELECT DISTINCT id, name, media_type FROM artifacts), b AS (SELECT DISTINCT id, name, text, strlen(text) AS n FROM artifact_text WHERE text IS NOT NULL),
-r AS (SELECT t.*, n, CASE WHEN NOT (coalesce(media_type = 'text/plain', false) OR coalesce(lower(t.name) LIKE '%.ocr', false)) THEN 'unsupported_artifact_type' WHEN n IS NULL THEN 'artifact_file_missing' ELSE 'text_loaded' END AS status
-  FROM t LEFT JOIN b ON b.id = t.id AND b.name = t.name)
-SELECT id, name, status, CASE WHEN status = 'text_loaded' THEN least(100, n) END AS text_offset, CASE WHEN status = 'text_loaded' THEN least(least(100, n) + 512, n) - least(100, n) END AS returned_bytes,
-CASE WHEN status = 'text_loaded' THEN n END AS total_bytes, CASE WHEN status = 'text_loaded' THEN least(least(100, n) + 512, n) < n END AS truncated FROM r""")
+# a page of bytes as hex digits: what is left of a character at either end reads as a replacement character
+@query("""WITH t AS (SELECT DISTINCT id, name, media_type FROM artifacts), b AS (SELECT DISTINCT id, name, strlen(text) AS n, hex(encode(text)[101:612]) AS h FROM artifact_text WHERE text IS NOT NULL),
+r AS (SELECT t.*, n, h, length(h) // 2 AS m, CASE WHEN NOT (coalesce(media_type = 'text/plain', false) OR coalesce(lower(t.name) LIKE '%.ocr', false)) THEN 'unsupported_artifact_type' WHEN n IS NULL THEN 'artifact_file_missing' ELSE 'text_loaded' END AS status
+  FROM t LEFT JOIN b ON b.id = t.id AND b.name = t.name),
+l AS (SELECT *, CASE WHEN substr(h, 1, 1) NOT IN ('8', '9', 'A', 'B') THEN 0 WHEN substr(h, 3, 1) NOT IN ('8', '9', 'A', 'B') THEN 1 WHEN substr(h, 5, 1) NOT IN ('8', '9', 'A', 'B') THEN 2 ELSE 3 END AS lead,
+  CASE WHEN substr(h, 2 * m - 1, 1) NOT IN ('8', '9', 'A', 'B') THEN 1 WHEN substr(h, 2 * m - 3, 1) NOT IN ('8', '9', 'A', 'B') THEN 2 WHEN substr(h, 2 * m - 5, 1) NOT IN ('8', '9', 'A', 'B') THEN 3 ELSE 4 END AS back FROM r),
+c AS (SELECT *, CASE WHEN m > lead AND CASE substr(h, 2 * (m - back) + 1, 1) WHEN 'C' THEN 2 WHEN 'D' THEN 2 WHEN 'E' THEN 3 WHEN 'F' THEN 4 ELSE 1 END > back THEN back ELSE 0 END AS tail FROM l)
+SELECT id, name, status, CASE WHEN status = 'text_loaded' THEN repeat('\ufffd', lead) || decode(unhex(substr(h, 2 * lead + 1, 2 * (m - lead - tail)))) || CASE WHEN tail > 0 THEN '\ufffd' ELSE '' END END AS text,
+CASE WHEN status = 'text_loaded' THEN least(100, n) END AS text_offset, CASE WHEN status = 'text_loaded' THEN least(least(100, n) + 512, n) - least(100, n) END AS returned_bytes,
+CASE WHEN status = 'text_loaded' THEN n END AS total_bytes, CASE WHEN status = 'text_loaded' THEN least(least(100, n) + 512, n) < n END AS truncated FROM c""")
 def artifact_text_page(spark: SparkSession, d: str) -> DataFrame:
     page = A.read_text(table(spark, d, "artifacts").select("id", "name", "media_type").distinct(), _bytes(spark, d), 100, 512)
-    return page.select("id", "name", "status", "text_offset", "returned_bytes", "total_bytes", "truncated")
+    return page.select("id", "name", "status", "text", "text_offset", "returned_bytes", "total_bytes", "truncated")
 
 
 @query("""SELECT DISTINCT id, name, to_base64(encode(text)[1:300]) AS data_base64, least(300, strlen(text)) AS returned_bytes, strlen(text) AS total_bytes, 300 < strlen(text) AS truncated
@@ -440,10 +445,20 @@ def fnv1a_digest(spark: SparkSession, d: str) -> DataFrame:
     return with_fnv1a(table(spark, d, "doc_meta").select("id", "search_text"), "search_text", "fnv").select("id", "fnv").distinct()
 
 
+def _vector_index(spark: SparkSession, d: str) -> ann.Index:
+    """The stored vector index of the embeddings, built once an application."""
+    built = spark.sparkContext.__dict__.setdefault("_dossierkit_indexes", {})
+    path = built.get((d, "embeddings"))
+    if path is None:
+        path = f"{intermediates(spark)}/vectors-{uuid.uuid4().hex}"
+        ann.save(ann.build(table(spark, d, "embeddings"), "vec_id", "embedding"), path)
+        built[d, "embeddings"] = path
+    return ann.load(spark, path)
+
+
 @query()
 def ann_topk(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings")
-    return ann.search(ann.build(vectors, "vec_id", "embedding"), vectors.where("vec_id % 100 = 0"), 10)
+    return ann.search(_vector_index(spark, d), table(spark, d, "embeddings").where("vec_id % 100 = 0"), 10)
 
 
 @query()
@@ -452,7 +467,7 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     asked = vectors.where("vec_id % 100 = 0")
     exact = V.nearest(asked, vectors, "vec_id", "embedding", 10).select("query_id", "vec_id")
-    found = ann.search(ann.build(vectors, "vec_id", "embedding"), asked, 10).select("query_id", "vec_id", F.lit(1.0).alias("hit"))
+    found = ann.search(_vector_index(spark, d), asked, 10).select("query_id", "vec_id", F.lit(1.0).alias("hit"))
     return exact.join(found, ["query_id", "vec_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 4).alias("recall"), F.count("*").alias("n"))
 
 

@@ -1,7 +1,9 @@
 """Cursor-paged record source as a Python data source.
 
 ``spark.read.format("record_pages")`` reads pages of JSON records, each page as
-one input partition. A page is a file of JSON lines under ``path``; the options
+one input partition. A page is a file of JSON lines under ``path``, a folder that
+the driver and all executors see under that name (a mounted one, on a cluster;
+elsewhere ``spark.read.text`` gives the records as well); the options
 ``since`` and ``modified`` keep the records modified at or after a bound,
 compared as text, and ``fields`` names the fields to keep, or ``scan`` one of the
 lists of ``SCANS`` (all fields by default). Over a search server

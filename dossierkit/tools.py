@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.embed import Embedder, HashingEmbedder
@@ -19,15 +19,11 @@ from .operators import vectors as V
 from .operators.graph import related
 from .operators.search import SearchParams, bm25, keyword_search, snippet
 from .operators.textindex import TextIndex
+from .operators.store import Store
 from .operators.sqlguard import SqlResult, describe_schema, run_sql
 from .schema import DOCUMENTS
 
 
-def chunk_key() -> Column:
-    """Key of a chunk in indexes and rankings."""
-    return F.xxhash64("doc_id", "artifact_name", "chunk_idx")
-
-
 @dataclass
 class Archive:
     """Tables of an archive; ``chunks``, ``raw``, ``files`` and the stored full-text indexes (of documents by id, of chunks by key) may be missing."""
@@ -43,6 +39,17 @@ class Archive:
     text_index: TextIndex | None = None
     chunk_index: TextIndex | None = None
 
+    @classmethod
+    def open(cls, spark: SparkSession, store: Store, files: DataFrame | None = None, embedder: Embedder | None = None) -> Archive:
+        """The archive in a store, with its indexes as far as they are built."""
+        got = {n: store.read(n) if store.exists(n) else None for n in ("chunks", "raw_artifacts", "_meta")}
+        meta = got["_meta"].first() if got["_meta"] is not None else None
+        model = meta["embed_model"] if meta else None
+        return cls(
+            spark, store.read("documents"), store.read("artifacts"), got["chunks"], got["raw_artifacts"], files, embedder or HashingEmbedder(), model,
+            textindex.stored(store, "documents"), textindex.stored(store, "chunks"),
+        )
+
     def _tables(self) -> dict[str, DataFrame]:
         known = {"documents": self.documents, "artifacts": self.artifacts}
         return known | ({"chunks": self.chunks} if self.chunks is not None else {})
@@ -74,7 +81,7 @@ class Archive:
             return {"count": 0, "hits": []}
         if self.embed_model is not None and self.embed_model != self.embedder.model:
             return {"error": f"chunks were embedded with {self.embed_model}, not {self.embedder.model}"}
-        keyed = self.chunks.withColumn("key", chunk_key())
+        keyed = self.chunks.withColumn("key", textindex.chunk_key())
         scored = bm25(keyed, "key", "text", query) if self.chunk_index is None else textindex.search(self.chunk_index, query)
         words = scored.orderBy(F.desc(F.round("score", 9)), "key").limit(factor * n)
         from pyspark.sql import Window

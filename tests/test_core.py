@@ -12,7 +12,10 @@ from dossierkit.operators import artifacts as A
 from dossierkit.operators import lookup as L
 from dossierkit.operators.fulltext import build_fulltext, build_raw
 from dossierkit.operators.graph import related
-from dossierkit.operators.ingest import Store, apply, build, classify
+from dossierkit.operators import textindex
+from dossierkit.operators.ingest import apply, build, classify
+from dossierkit.operators.maintenance import index_documents
+from dossierkit.operators.store import Store
 from dossierkit.operators.mapping import explode_artifacts, map_records
 from dossierkit.operators.search import SearchParams, bm25, keyword_search, snippet, terms
 from dossierkit.operators.sqlguard import Refused, run_sql, validate
@@ -73,6 +76,17 @@ def test_classification_order(spark):
     assert {r["id"]: r["class"] for r in classify(rows, stored).collect()} == {"a": "unchanged", "b": "redacted", "c": "changed", "e": "new"}
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from dossierkit.session import shared_folder
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder, set=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://host:7077", None))
+    assert shared_folder(session("spark://host:7077", "hdfs:///x")) == "hdfs:///x" and shared_folder(session("local[2]", None)).startswith("file:///")
+
+
 def test_lookups(spark):
     docs = spark.createDataFrame([("a", "B1", "x"), ("b", "B2", None), ("c", "a", "z")], "id string, bn string, digest string")
     wanted = spark.createDataFrame([(0, "c"), (1, "nope"), (2, "a"), (3, "c"), (4, None)], "pos int, id string")
@@ -148,6 +162,21 @@ def test_search(spark):
     assert {(r["id"], r["title"]) for r in filled} == {("a", "Quarterly Report"), ("q", "")}
 
 
+def test_stored_text_index(spark, tmp_path):
+    from dossierkit.operators import textindex
+
+    rows = [(f"k{i}", t) for i, t in enumerate(["the annual audit", "audit of the audit", "nothing", "", None, "Été à la Mühle", "the " * 50])]
+    docs = spark.createDataFrame(rows, "k string, t string")
+    textindex.save(textindex.rows(docs, "k", "t"), str(tmp_path / "i"))
+    index = textindex.load(spark, str(tmp_path / "i"))
+    for query in ("audit", "the AUDIT", "mühle nothing", "!!", "", "absent"):
+        want = {r["k"]: round(r["score"], 9) for r in bm25(docs, "k", "t", query).collect()}
+        assert {r["key"]: round(r["score"], 9) for r in textindex.search(index, query).collect()} == want, query
+    plan = textindex.search(index, "audit")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "In(term" in plan or "EqualTo(term" in plan
+    assert textindex.search(textindex.rows(docs.limit(0), "k", "t"), "audit").count() == 0
+
+
 def test_graph(spark):
     rows = [("a", "A", "t", ["B", "X", "B"], ["A"]), ("b", "B", "t", [], []), ("c", "C", None, None, ["A", None, ""]), ("d", "B", None, ["C"], [])]
     docs = spark.createDataFrame(rows, "id string, bn string, conversation string, attachments array<string>, related array<string>").withColumn("mentions", F.array().cast("array<string>"))
@@ -186,7 +215,7 @@ def test_sql_guard(spark):
     assert run_sql(spark, "SELECT bn FROM documents WHERE id = 'b'", tables).rows == [{"bn": None}]
 
 
-def test_tools(spark):
+def test_tools(spark, tmp_path):
     mapped = map_records(frame(spark, record("a", title="annual audit"), record("b", title="other audit", attachment=["A9"], bn="B9"), record("c", bn="A9")))
     docs, arts = mapped.drop("artifacts", "redacted"), explode_artifacts(mapped)
     texts = [(x, 0, f"{x}.a.ocr", t) for x, t in (("a", "the annual audit went well"), ("b", "nothing to see"), ("gone", "annual audit of another"))]
@@ -206,10 +235,23 @@ def test_tools(spark):
     assert archive.get_related("b")["edge_count"] == 1
     assert archive.run_sql("SELECT count(*) AS n FROM documents").rows == [{"n": 3}]
     assert {r["table_name"] for r in archive.describe_schema()} == {"documents", "artifacts", "chunks"}
+    cut = archive.get_related("a", most=0)
+    assert cut["truncated"] == (cut["edge_count"] > 0 or cut["node_count"] > 0) and cut["graph"] == {"nodes": {}, "edges": []} and not archive.get_related("a")["truncated"]
+    store = Store(spark, str(tmp_path))
+    build(store, docs, arts)
+    t = store.begin()
+    t.put("chunks", chunk)
+    t.commit()
+    index_documents(store)
+    textindex.store(store, "chunks", textindex.rows(chunk.select(textindex.chunk_key().alias("key"), "text"), "key", "text"))
+    opened = Archive.open(spark, store)
+    assert opened.text_index is not None and opened.chunk_index is not None
+    assert opened.search_documents("annual audit") == archive.search_documents("annual audit")
+    assert [h["score"] for h in opened.hybrid_search("annual audit")["hits"]] == [h["score"] for h in hybrid["hits"]]
     assert "error" in Archive(spark, docs, arts).hybrid_search("x")
 
 
-def test_index_recall(spark):
+def test_index_recall(spark, tmp_path):
     import numpy as np
 
     from dossierkit.operators import ann
@@ -222,6 +264,12 @@ def test_index_recall(spark):
     exact = {tuple(r) for r in nearest(asked, df, "k", "v", 10).select("query_id", "k").collect()}
     got = {tuple(r) for r in ann.search(ann.build(df, "k", "v"), asked, 10).select("query_id", "k").collect()}
     assert len(exact & got) >= 0.9 * len(exact)
+    index = ann.build(df, "k", "v")
+    ann.save(index, str(tmp_path / "index"))
+    kept = ann.search(ann.load(spark, str(tmp_path / "index")), asked, 10)
+    assert {tuple(r) for r in kept.select("query_id", "k").collect()} == got
+    one = ann.search(ann.load(spark, str(tmp_path / "index")), df.where("k = 0"), 3, probes=1)
+    assert one.count() == 3 and "PartitionFilters: [isnotnull(list" in one._jdf.queryExecution().toString()
     few = df.where("k < 100")
     assert {tuple(r) for r in ann.search(ann.build(few, "k", "v"), asked, 3).select("query_id", "k").collect()} == {tuple(r) for r in nearest(asked, few, "k", "v", 3).select("query_id", "k").collect()}
 

@@ -1,6 +1,6 @@
 import json
 
-from dossierkit.operators.ingest import Store
+from dossierkit.operators.store import Store
 from dossierkit.sources.records import RecordPages
 from dossierkit.streaming.apply import keyed_maximum, stream_apply
 
