@@ -360,7 +360,9 @@ def link_names(written: DataFrame, registry: DataFrame) -> DataFrame:
     entry = F.struct("party_id", "party_name", "party_kind", "mail_domain", "org", "shown")
     blocks = whole.select(number, entry.alias("e")).groupBy("number").agg(F.sort_array(F.collect_list("e")).alias("entries"))
     # the registry is the stated set that all spellings are compared with, block by block
-    packed = names.mapInArrow(_packed, "spellings array<string>")
+    # few bytes but much work: over all cores, however small the table is
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = names.repartition(cores).mapInArrow(_packed, "spellings array<string>")
     met = packed.join(blocks).select("spellings", "number", "entries")
     fits = met.mapInArrow(_match(idf), "written string, party_id long, cosine double, edits int")
     least = Window.partitionBy("written")
