@@ -136,10 +136,9 @@ def sketch(h: np.ndarray, rule: LikenessRule, seed: int) -> np.ndarray:
     return out
 
 
-def sketches_of(h: np.ndarray, rule: LikenessRule, seed: int) -> np.ndarray:
-    """All sketches of a record's k-mers ``h``."""
-    first = np.sort(np.unique(h, return_index=True)[1])
-    out = [sketch(labelled(h), rule, seed)]
+def sketches_of(h: np.ndarray, first: np.ndarray, rule: LikenessRule, seed: int) -> np.ndarray:
+    """All sketches of a record's k-mers ``h``, of which those at ``first`` are the distinct ones."""
+    out = [sketch(h if len(first) == len(h) else labelled(h), rule, seed)]
     if len(first) <= REPEATS * len(h):
         out.append(sketch(h[first], rule, seed))
     if 2 <= len(first) <= FEW / rule.threshold:
@@ -203,8 +202,9 @@ def _sketch_rows(rules: dict[str, LikenessRule]):
                 key.append(k)
                 hi.append(int(digest[0]))
                 lo.append(int(digest[1]))
-                size.append(len(np.unique(h)))
-                sketches.append(np.empty(0, np.int64) if (f, raw) in seen else sketches_of(h, rule, xxhash.xxh32_intdigest(f)).view(np.int64))
+                first = np.sort(np.unique(h, return_index=True)[1])
+                size.append(len(first))
+                sketches.append(np.empty(0, np.int64) if (f, raw) in seen else sketches_of(h, first, rule, xxhash.xxh32_intdigest(f)).view(np.int64))
                 seen.add((f, raw))
             ends = np.cumsum([0, *map(len, sketches)])
             values = np.concatenate(sketches) if sketches else np.empty(0, np.int64)
