@@ -13,7 +13,10 @@ more would rarely all be common.
 A sketch shared by more than ``HOT`` records (a letterhead, a disclaimer) is not
 paired as it is: its records meet under each further sketch that they share, so
 a pair still needs two agreeing sketches, nothing is dropped, and no task gets
-the whole group.
+the whole group. Where a rule asks for one agreeing sketch only, the records of
+such sketches meet under the k-mers of their exact prefixes instead: with k-mers in one
+order over all of them, rare ones first, two sets of a likeness over the
+threshold have one in common among as many of the first as each may miss.
 
 Exact copies (equal words, or equal normalised titles) collapse into classes
 before anything is paired; classes are expanded again at the end.
@@ -258,6 +261,71 @@ def _hot_buckets(sketched: DataFrame) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
+def _texts_of(items: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(rec, key, text) of about the ``n`` wanted records: a Bloom filter of bounded size holds the others back at the scan."""
+    n_blocks = bloom.blocks_for(n)
+    texts = items.withColumn("rec", _record(F.col("field"), F.col("key")))
+    return bloom.probe(texts, "rec", bloom.build(wanted, "rec", n_blocks), n_blocks, "maybe").where("maybe").select("rec", "key", "text")
+
+
+def _distinct_kmers(rules: dict[str, LikenessRule]):
+    """(rec, size, kmers): the number of distinct k-mers with the field's number below it, and the k-mers."""
+    number = {f: i for i, f in enumerate(sorted(rules))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            recs, size, sets = [], [], []
+            for rec, f, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = np.unique(kmers(tokens(t, rules[f], known), rules[f].k))
+                if len(h):
+                    recs.append(rec)
+                    size.append(len(h) * 16 + number[f])
+                    sets.append(h.view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(recs, pa.int64()), pa.array(size, pa.int32()), lists], ["rec", "size", "kmers"])
+
+    return run
+
+
+def _prefixes(rules: dict[str, LikenessRule], counts):  # noqa: ANN001, ANN202
+    """The first k-mers of each record, rare ones first: so many that two records over the threshold have one in common."""
+    thresholds = [rules[f].threshold for f in sorted(rules)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.frombuffer(counts.value, np.int64)
+        for batch in batches:
+            first = []
+            for size, h in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = h.values.to_numpy()
+                n = len(h) - int(np.ceil(thresholds[size & 15] * len(h) - 1e-9)) + 1
+                first.append(h[np.lexsort((h, times[h & (len(times) - 1)]))[:n]])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate(first) if first else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["rec", "size", "kmers"])
+
+    return run
+
+
+def _met_by_prefix(items: DataFrame, wanted: DataFrame, rules: dict[str, LikenessRule], least: Column) -> DataFrame:
+    """(lo_a, lo_b, kind) of the ``wanted`` (rec, field) that can be alike: none that are is left out.
+
+    Any one order of the k-mers is exact; how often they occur is counted in
+    cells, so what is common to many records comes last and pairs few.
+    """
+    wanted = materialise(wanted, "neardup-hot-records")
+    texts = _texts_of(items, wanted.select("rec"), wanted.count()).join(wanted, "rec").select("rec", "field", "text")
+    sets = materialise(texts.mapInArrow(_distinct_kmers(rules), "rec long, size int, kmers array<long>").distinct(), "neardup-kmers")
+    n = sets.agg(F.sum(F.size("kmers"))).first()[0] or 0
+    cells = 1 << max(14, min(20, n.bit_length()))
+    cell = sets.select(F.explode("kmers").alias("kmer")).groupBy(F.col("kmer").bitwiseAND(cells - 1).cast("int").alias("cell")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(cells, np.int64)
+    counts[cell.column(0).to_numpy()] = cell.column(1).to_numpy()
+    counts = items.sparkSession.sparkContext.broadcast(counts.tobytes())
+    first = sets.mapInArrow(_prefixes(rules, counts), "rec long, size int, kmers array<long>").select(F.explode("kmers").alias("bucket"), "rec", "size")
+    first = first.repartition("bucket")
+    return _met(first, first, ["bucket"], least).distinct()
+
+
 def _met(a: DataFrame, b: DataFrame, on: list[str], least: Column) -> DataFrame:
     """(lo_a, lo_b, shared, kind, hot) of records that meet in a bucket and are of near size."""
     a, b = a.alias("a"), b.alias("b")
@@ -290,12 +358,17 @@ def near_duplicates(items: DataFrame, rules: dict[str, LikenessRule]) -> NearDup
     buckets = sketched.select(F.explode("sketches").alias("bucket"), *of)
     least, agree = (F.array(*[F.lit(getattr(rules[f], x)) for f in fields]) for x in ("threshold", "agree"))
     hot = _hot_buckets(sketched)
-    met_hot = None
+    met_hot = by_prefix = None
     if hot is not None:
-        whole = sketched.select(F.explode("sketches").alias("bucket"), *of, "sketches").join(hot, "bucket", "left_semi")
+        by_one = [f for f in fields if rules[f].agree == 1]
+        if by_one:
+            held = sketched.where(F.col("field").isin(by_one)).select(*of_class, F.explode("sketches").alias("bucket")).join(hot, "bucket", "left_semi")
+            held = classes.join(held.select(*of_class).distinct(), of_class, "left_semi").select(_record(F.col("field"), F.col("rep")).alias("rec"), "field").distinct()
+            by_prefix = _met_by_prefix(items, held, rules, least)
+        whole = sketched.where(~F.col("field").isin(by_one)).select(F.explode("sketches").alias("bucket"), *of, "sketches").join(hot, "bucket", "left_semi")
         two = whole.select("bucket", "rec", "size", F.explode("sketches").alias("other")).where(F.col("other") != F.col("bucket"))
         two = two.repartition("bucket", "other").dropDuplicates(["bucket", "other", "rec"])
-        # two agreeing sketches at once: as many as any rule asks for
+        # two agreeing sketches at once: as many as these rules ask for
         met_hot = _met(two, two, ["bucket", "other"], least).select("lo_a", "lo_b").distinct()
         buckets = buckets.join(hot, "bucket", "left_anti")
     buckets = buckets.repartition("bucket").dropDuplicates(["bucket", "rec"])
@@ -307,13 +380,15 @@ def near_duplicates(items: DataFrame, rules: dict[str, LikenessRule]) -> NearDup
     ends = [named.select(F.col("field").alias(f"f_{x}"), F.col("class_lo").alias(f"lo_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
     candidates = met.join(ends[0], "lo_a").join(ends[1], "lo_b").where("f_a = f_b")
     candidates = candidates.select(F.col("f_a").alias("field"), *[_record(F.col("f_a"), F.col(f"rep_{x}")).alias(f"rec_{x}") for x in "ab"]).where("rec_a <> rec_b")
+    if by_prefix is not None:
+        name = F.array(*[F.lit(f) for f in fields])
+        candidates = candidates.unionByName(by_prefix.select(F.get(name, F.col("kind")).alias("field"), F.col("lo_a").alias("rec_a"), F.col("lo_b").alias("rec_b")))
+        candidates = candidates.select("field", F.least("rec_a", "rec_b").alias("rec_a"), F.greatest("rec_a", "rec_b").alias("rec_b")).distinct()
     candidates = materialise(candidates, "neardup-candidates")
 
-    # Only the texts of candidates move: a Bloom filter of bounded size holds the others back at the scan.
+    # Only the texts of candidates move.
     wanted = candidates.select(F.explode(F.array("rec_a", "rec_b")).alias("rec"))
-    n_blocks = bloom.blocks_for(2 * candidates.count())
-    texts = items.withColumn("rec", _record(F.col("field"), F.col("key")))
-    texts = bloom.probe(texts, "rec", bloom.build(wanted, "rec", n_blocks), n_blocks, "maybe").where("maybe").select("rec", "key", "text")
+    texts = _texts_of(items, wanted, 2 * candidates.count())
     left, right = texts.alias("l"), texts.alias("r")
     together = (
         candidates.join(left, F.col("rec_a") == F.col("l.rec"))

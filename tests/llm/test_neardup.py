@@ -2,7 +2,9 @@ import random
 import re
 from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 
 from dossierkit.llm import neardup
 from dossierkit.llm.neardup import TEXT, TITLE, NearDuplicates, all_pairs, clusters, compare, kmers, near_duplicates, tokens
@@ -95,6 +97,26 @@ def test_hot_sketches_lose_nothing(spark, monkeypatch):
     assert {tuple(r) for r in all_pairs(near_duplicates(df, {"text": TEXT})).collect()} == whole == _brute(rows)
 
 
+def test_hot_sketches_of_rules_that_ask_for_one_lose_nothing(spark, monkeypatch):
+    """Pairs whose only common sketch is hot: under a letterhead that few share otherwise, and in a group of which all are alike."""
+    rnd = random.Random(5)
+    head = " ".join(f"h{i}" for i in range(40))
+    rows = [("text", f"a{g:02d}", " ".join([*[f"t{i}" for i in range(90)], f"end{g}", f"of{g}"])) for g in range(30)]
+    for g in range(30):
+        body = [f"g{g}w{rnd.randrange(60)}" for _ in range(30)]
+        for v in range(2):
+            rows.append(("text", f"b{g:02d}-{v}", " ".join([head, *body, *[f"v{rnd.randrange(99)}"] * v])))
+    df = spark.createDataFrame(rows, "field string, key string, text string")
+    want = _brute(rows)
+    monkeypatch.setattr(neardup, "HOT", 5)
+    rule = replace(TEXT, sketches=1, agree=1)
+    sketched = [neardup.sketches_of(kmers(tokens(t, rule, {}), 3), np.arange(len(t.split()) - 2), rule, xxhash.xxh32_intdigest("text"))[0] for _, _, t in rows]
+    hot = {k for (_, k, _), s in zip(rows, sketched, strict=True) if sketched.count(s) > 5}
+    got = {tuple(r) for r in all_pairs(near_duplicates(df, {"text": rule})).collect()}
+    assert got <= want and {p for p in want if {p[1], p[2]} <= hot} <= got and len(hot) > 20
+    assert {tuple(r) for r in all_pairs(near_duplicates(df, {"text": replace(TEXT, agree=1), "title": TITLE})).collect()} == want
+
+
 def test_repeats_and_few_kmers(spark):
     rows = [("text", "one", "a b c d e f g h"), ("text", "three", " ".join(["a b c d e f g h"] * 9))]
     rows += [("title", f"s{i}", t) for i, t in enumerate(("abcde", "abcdef", "abcdefg", "bcdefgh", "xyzabc", "xyzabcd"))]
