@@ -1,3 +1,4 @@
+import random
 import time
 
 import numpy as np
@@ -102,3 +103,22 @@ def test_exclamation_mark_for_i(spark):
     assert got == {("bad", 1, "misread"), ("bad", 2, "misread"), ("bad", 3, "split_word"), ("bad", 3, "misread"), ("bad", 4, "split_word"), ("bad", 5, "misread")}
     text = repaired(df).where("name = 'bad'").first()["text"]
     assert text == "the witness spoke against it and the index was of the patient and against it. Stop! Go on!"
+
+
+def test_words_are_those_of_the_pattern():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab1_†|!!! \n\f-.'áſ\xa0²­İΣ") for _ in range(300)) for _ in range(300)]
+    assert all(scans.words_of(t) == scans._TOKEN.findall(t) for t in texts)
+
+
+def test_a_mail_is_looked_for_only_where_it_decides(monkeypatch):
+    """A text without pages and with no two lines alike has no heads, whether it looks like a mail or not."""
+    looked = []
+
+    class Pattern:
+        def search(self, text):
+            looked.append(text)
+
+    monkeypatch.setattr(scans, "_MAILISH", Pattern())
+    assert scans.furniture("Some first line here\nanother text below it\npart  3\nthe end of all\n") == {}
+    assert not looked
