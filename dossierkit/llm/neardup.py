@@ -52,8 +52,9 @@ HOT = 2000
 FEW, REPEATS = 16, 0.9
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_WORD = re.compile(r"[^\W_]+")
 _SPACE = re.compile(r"\s+")
+#: Bytes of ASCII as words see them: letters small, digits, all else blank.
+_ASCII = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 for i in range(256))
 
 
 @dataclass(frozen=True)
@@ -74,20 +75,39 @@ TEXT = LikenessRule("word", 3, 0.6, 3, 44, 2)
 TITLE = LikenessRule("char", 3, 0.7, 5, 44, 2)
 
 
-def tokens(text: str, rule: LikenessRule, known: dict[str, int]) -> np.ndarray:
+class _Parts(dict):
+    """Whether a character parts words; blanks are left to ``split``."""
+
+    def __missing__(self, c: str) -> bool:
+        v = self[c] = not (c.isalnum() or c.isspace())
+        return v
+
+
+_parts = _Parts()
+
+
+def words_of(text: str) -> list[str] | list[bytes]:
+    """Runs of letters and digits of the text in small letters, as UTF-8 where all is ASCII: a pattern takes more time."""
+    if text.isascii():
+        return text.encode().translate(_ASCII).split()
+    text = text.lower()
+    for c in filter(_parts.__getitem__, set(text)):
+        text = text.replace(c, " ")
+    return text.split()
+
+
+def tokens(text: str, rule: LikenessRule, known: dict[str | bytes, int]) -> np.ndarray:
     """Token hashes of a text."""
     if rule.unit == "char":
         return np.frombuffer(_SPACE.sub(" ", text.strip().lower()).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    words = _WORD.findall(text.lower())
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            if len(known) > 500_000:
-                known.clear()
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    words = words_of(text)
+    try:
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    except KeyError:
+        if len(known) > 500_000:
+            known.clear()
+        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(known))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def kmers(t: np.ndarray, k: int) -> np.ndarray:
@@ -187,7 +207,7 @@ def _sketch_rows(rules: dict[str, LikenessRule]):
     names = ["field", "key", "class_hi", "class_lo", "size", "sketches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str | bytes, int] = {}
         seen: set[tuple[str, bytes]] = set()  # classes of a field this task has sketched: copies need no second sketch
         for batch in batches:
             field, key, hi, lo, size, sketches = [], [], [], [], [], []
@@ -219,7 +239,7 @@ def _sketch_rows(rules: dict[str, LikenessRule]):
 
 def _verify_rows(rules: dict[str, LikenessRule]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str | bytes, int] = {}
         for batch in batches:
             rows: list[list] = [[] for _ in range(5)]
             for f, ka, kb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -273,7 +293,7 @@ def _distinct_kmers(rules: dict[str, LikenessRule]):
     number = {f: i for i, f in enumerate(sorted(rules))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[str | bytes, int] = {}
         for batch in batches:
             recs, size, sets = [], [], []
             for rec, f, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -6,7 +6,8 @@ once, wherever they occur. A chunk's tokens hold only between its first and last
 pattern always parts, whatever stands further away); the stretch from the last
 sure boundary of one chunk to the first of the next is encoded again over the
 join. So the ids agree exactly with those of the whole text. A chunk without a
-sure boundary is carried whole into the re-encoded stretch.
+sure boundary is carried whole into the re-encoded stretch. Where only the number
+of tokens is asked for, texts are encoded whole: chunks would cost more than they save.
 
 Defined cases: null and empty texts give an empty list; strings that look like
 special tokens are ordinary text; exact duplicate rows give one row; further
@@ -97,7 +98,7 @@ def _chunk_rows(with_piece: bool):
     return run
 
 
-def _encode_chunks(path: str, counts_only: bool):
+def _encode_chunks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, width = encoder(path).encode_ordinary, id_type(path)
         for batch in batches:
@@ -108,7 +109,7 @@ def _encode_chunks(path: str, counts_only: bool):
                 heads.append(head)
                 tails.append(tail)
                 sizes.append(-1 if core is None else len(ids))
-                cores.append(b"" if counts_only else np.asarray(ids, width).tobytes())
+                cores.append(np.asarray(ids, width).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.binary()), pa.array(heads, pa.string()), pa.array(cores, pa.binary()), pa.array(tails, pa.string()), pa.array(sizes, pa.int32())],
                 ["chunk", "head", "core", "tail", "size"],
@@ -117,7 +118,7 @@ def _encode_chunks(path: str, counts_only: bool):
     return run
 
 
-def _repair(path: str, counts_only: bool):
+def _repair(path: str):
     """Put the chunks of each text together and encode again over the joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def _repair(path: str, counts_only: bool):
             parts = lists.flatten()
             seq, heads, cores, tails, sizes = (parts.field(i).to_pylist() for i in range(5))
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            ends, out, totals = [0], [], []
+            ends, out = [0], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 pending, total, last = "", 0, -1
                 for j in range(a, b):
@@ -139,37 +140,53 @@ def _repair(path: str, counts_only: bool):
                         continue
                     ids = enc(pending) if pending else []
                     total += len(ids) + sizes[j]
-                    if not counts_only:
-                        out.append(np.asarray(ids, np.int32))
-                        out.append(np.frombuffer(cores[j], width).astype(np.int32))
+                    out.append(np.asarray(ids, np.int32))
+                    out.append(np.frombuffer(cores[j], width).astype(np.int32))
                     pending = tails[j]
                 ids = enc(pending) if pending else []
                 total += len(ids)
-                if not counts_only:
-                    out.append(np.asarray(ids, np.int32))
+                out.append(np.asarray(ids, np.int32))
                 ends.append(ends[-1] + total)
-                totals.append(total)
-            if counts_only:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64())], ["doc_id", "n_tokens"])
-                continue
             values = np.concatenate(out) if out else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))], ["doc_id", "ids"])
 
     return run
 
 
+def _count(path: str):
+    """Tokens of each text; one that this worker met before is not encoded again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path).encode_ordinary
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            whole, n = [], []
+            for t in batch.column(1).to_pylist():
+                mark = xxhash.xxh3_128_digest(t.encode())
+                if mark not in known:
+                    if len(known) > 500_000:
+                        known.clear()
+                    known[mark] = len(enc(t))
+                whole.append(mark)
+                n.append(known[mark])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "whole", "n_tokens"])
+
+    return run
+
+
 def encode(documents: DataFrame, path: str = VOCABULARY, counts_only: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of every document, or (doc_id, n_tokens long) with ``counts_only``."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     filled = texts.where(F.col("text").isNotNull() & (F.col("text") != ""))
+    blank = texts.where(F.col("text").isNull() | (F.col("text") == ""))
+    if counts_only:  # nothing is kept but the number: no text is shuffled for it
+        counted = filled.mapInArrow(_count(path), "doc_id long, whole binary, n_tokens long").distinct().select("doc_id", "n_tokens")
+        return counted.unionByName(blank.select("doc_id", F.lit(0).cast("long").alias("n_tokens")).distinct())
     # partial aggregation keeps one copy of a chunk per map task before anything is shuffled
     chunks = filled.mapInArrow(_chunk_rows(True), "chunk binary, piece string").groupBy("chunk").agg(F.any_value("piece").alias("piece"))
-    coded = chunks.mapInArrow(_encode_chunks(path, counts_only), "chunk binary, head string, core binary, tail string, size int")
+    coded = chunks.mapInArrow(_encode_chunks(path), "chunk binary, head string, core binary, tail string, size int")
     uses = filled.mapInArrow(_chunk_rows(False), "doc_id long, whole binary, seq int, chunk binary")
     # both sides stay hash-partitioned by chunk; AQE splits the uses of a hot chunk
     parts = uses.join(coded, "chunk").groupBy("doc_id", "whole").agg(F.array_sort(F.collect_list(F.struct("seq", "head", "core", "tail", "size"))).alias("parts"))
-    kind = "doc_id long, n_tokens long" if counts_only else "doc_id long, ids array<int>"
-    full = parts.select("doc_id", "parts").mapInArrow(_repair(path, counts_only), kind)
-    nothing = F.lit(0).cast("long").alias("n_tokens") if counts_only else F.array().cast("array<int>").alias("ids")
-    blank = texts.where(F.col("text").isNull() | (F.col("text") == "")).select("doc_id", nothing).distinct()
-    return full.unionByName(blank)
+    full = parts.select("doc_id", "parts").mapInArrow(_repair(path), "doc_id long, ids array<int>")
+    return full.unionByName(blank.select("doc_id", F.array().cast("array<int>").alias("ids")).distinct())

@@ -125,6 +125,14 @@ def test_repeats_and_few_kmers(spark):
     assert {tuple(r) for r in all_pairs(near_duplicates(df, rule)).collect()} == _brute(rows)
 
 
+def test_words_of_ascii_are_those_of_the_pattern():
+    rnd = random.Random(6)
+    for letters in ("aB1_ -\n\x1c\x00.'", "aB1_ é漢\xa0İ-"):
+        for _ in range(100):
+            text = "".join(rnd.choice(letters) for _ in range(80))
+            assert tokens(text, TEXT, {}).tolist() == [xxhash.xxh3_64_intdigest(w) for w in WORD.findall(text.lower())]
+
+
 def test_order_decides_where_a_rule_asks_for_it():
     words = [f"w{i}" for i in range(400)]
     blocks = [words[i : i + 5] for i in range(0, 400, 5)]

@@ -23,6 +23,17 @@ def test_ids_agree_with_direct_encoding(spark):
     assert encode(df.limit(0)).count() == 0
 
 
+def test_counts_shuffle_no_text(spark):
+    """A long text given twice is counted as the tokenizer counts it, and what is shuffled for it holds no text and no join."""
+    text = "some words and 漢字 " * 500
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (3, None), (3, ""), (4, "one"), (4, "two"), (4, "two")], "doc_id long, text string")
+    got = encode(df, counts_only=True)
+    n = len(encoder(VOCABULARY).encode_ordinary(text))
+    assert sorted(map(tuple, got.collect())) == [(1, n), (2, n), (3, 0), (4, 1), (4, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "piece" not in plan and "Join" not in plan
+
+
 def test_pack_keeps_room_and_conflicts():
     rnd = random.Random(1)
     n = 3000
